@@ -71,3 +71,14 @@ def per_row(df: DataFrame, keys: list[str], inputs: list[str], make: Callable[[]
             yield pa.RecordBatch.from_arrays(left + right, names=out)
 
     return picked.mapInArrow(run, schema)
+
+
+def hash_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """About n rows (2 n at most), chosen by a hash of the columns: the same for the same rows, however they are partitioned.
+
+    All rows of a table that has no more.  Only what is chosen moves, unlike the first n of every partition.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.xxhash64(*by) <= int((n / total - 0.5) * 2**64)).limit(2 * n)
