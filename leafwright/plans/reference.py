@@ -6,6 +6,7 @@ The SQL is written independently, for DuckDB: RE2 expressions, list functions, w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import new_folder, table
@@ -157,8 +158,9 @@ def q_reconciled(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     """Boxes on pages: the items of an order placed by their numbers."""
+    number = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
     item = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box_id"), ((F.col("l_partkey") * 7) % 500).cast("double").alias("x0"), ((F.col("l_suppkey") * 13) % 700).cast("double").alias("y0"), F.col("l_quantity").cast("double").alias("q")
+        F.col("l_orderkey").alias("page"), number.alias("box_id"), ((F.col("l_partkey") * 7) % 500).cast("double").alias("x0"), ((F.col("l_suppkey") * 13) % 700).cast("double").alias("y0"), F.col("l_quantity").cast("double").alias("q")
     )
     return item.select("page", "box_id", "x0", "y0", (F.col("x0") + 20 + 3 * F.col("q")).alias("x1"), (F.col("y0") + 20 + 4 * F.col("q")).alias("y1"))
 
@@ -312,7 +314,7 @@ plan AS (SELECT doc_id, page_num, failure, array_to_string(tried, ',') AS tried,
   WHEN failure IN ('garbage', 'low_word_count', 'truncated') THEN list_filter({_list(routing.CAPABLE)}, lambda x: list_contains(cands, x))[1]
   WHEN failure = 'timeout' THEN list_filter({_list(routing.LIGHT)}, lambda x: list_contains(cands, x))[1] END, cands[1]) AS engine FROM c)
 """
-_BOXES = """boxes AS (SELECT l_orderkey AS page, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS box_id, ((l_partkey * 7) % 500)::DOUBLE AS x0, ((l_suppkey * 13) % 700)::DOUBLE AS y0,
+_BOXES = """boxes AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS box_id, ((l_partkey * 7) % 500)::DOUBLE AS x0, ((l_suppkey * 13) % 700)::DOUBLE AS y0,
   ((l_partkey * 7) % 500)::DOUBLE + 20 + 3 * l_quantity AS x1, ((l_suppkey * 13) % 700)::DOUBLE + 20 + 4 * l_quantity AS y1 FROM lineitem)"""
 _CLUSTERS = f"""WITH RECURSIVE {_BOXES},
 edges AS (SELECT a.page, a.box_id AS u, b.box_id AS v FROM boxes a JOIN boxes b ON a.page = b.page
