@@ -89,7 +89,7 @@ def without_rows(text: str) -> str:
         digits = sum(not t.isalpha() for t in tokens)
         function = sum(t in ANY_FUNCTION_WORD for t in tokens)
         row = tokens and cells > 1 and function <= 0.1 * len(tokens) and (digits >= 0.3 * len(tokens) or len(set(tokens)) > 0.6 * len(tokens) and len(tokens) <= 3 * cells)
-        entry = tokens and _ITEM.match(line) and function <= 0.1 * len(tokens) and len(tokens) < 12
+        entry = tokens and _ITEM.match(line) and (function <= 0.1 * len(tokens) and len(tokens) < 12 or len(tokens) < 7)
         if not row and not entry and not (tokens and digits == len(tokens)):
             kept.append(line)
     return "\n".join(kept)

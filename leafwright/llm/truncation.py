@@ -154,12 +154,12 @@ def storage_limits(unfinished: DataFrame, source: str) -> DataFrame:
 def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_num", seq: str = "attempt_seq", source: str = "engine", text: str = "text") -> DataFrame:
     """doc, page, seq, source, reason, limit_encoding, limit_length for each cut text; sources are compared in lower case.
 
-    Rows that occur twice come out once.  Null, empty and blank texts are never cut; text that isn't prose (lists, tables,
+    Rows that occur twice come out once; rows with a null in doc, page or seq are left out.  Null, empty and blank texts are never cut; text that isn't prose (lists, tables,
     broken characters) isn't either.  A null source is a source of its own.  Readings of one page that end alike are taken
     to end with it.  Texts of any length are read whole; an empty table gives an empty result.
     """
     keys = [doc, page, seq]
-    rows = attempts.select(*keys, F.lower(F.trim(F.col(source))).alias("source"), F.col(text).alias("body")).where(F.trim("body") != "")
+    rows = attempts.dropna(subset=keys).select(*keys, F.lower(F.trim(F.col(source))).alias("source"), F.col(text).alias("body")).where(F.trim("body") != "")
     # Where the last characters end a sentence nothing was cut; the rest is looked at in Python.
     open_ended = rows.where(~F.substring("body", -12, 12).rlike(r"[.!?:;]['\"”’»)\]}*_`]*\s*$") | F.substring("body", -12, 12).rlike(r"(\.\.\.|…)\W*$"))
 
