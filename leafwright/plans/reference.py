@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..common import new_folder, table
 from ..functions import audit, pages, text
-from ..operators import assembly, benchmark, consensus, figures, latex, routing
+from ..operators import assembly, benchmark, consensus, figures, images, latex, routing
 from ..operators.incremental import VersionedTable
 from ..streaming import incremental as stream
 
@@ -94,6 +94,15 @@ def q_phantom_images(spark, sf_dir):
     return _attempts(spark, sf_dir).where("contains(text, '![')").select(*KEYS, text.without_phantom_images(F.col("text")).alias("text"))
 
 
+def q_missing_images(spark, sf_dir):
+    """Image references that name no file of the folder's listing, taken out: how many references each text had and keeps."""
+    rows = _attempts(spark, sf_dir).where("contains(text, '![')").select(*KEYS, "text")
+    files = table(spark, sf_dir, "file_listing").select(F.col("name").alias("target"))
+    count = lambda t: F.size(F.regexp_extract_all(t, F.lit(r"!\[[^\]]*\]\([^)]+\)"), F.lit(0)))
+    left = images.without_missing_images(rows, KEYS, "text", files)
+    return rows.select(*KEYS, count(F.col("text")).alias("had")).join(left.select(*KEYS, count(F.col("text")).alias("keeps")), KEYS)
+
+
 def q_best_reading(spark, sf_dir):
     rows = consensus.best_reading(table(spark, sf_dir, "attempts"))
     return rows.select("doc_id", "page_num", "attempt_seq", "viable", "n_attempts", "any_passed", F.round("score", 6).alias("score"))
@@ -362,6 +371,10 @@ SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE n) AS n_native, bool_
   coalesce(string_agg(page_num::VARCHAR, ',' ORDER BY page_num) FILTER (WHERE n), '') AS native_pages FROM one GROUP BY doc_id""",
     "q_enhancement": f"WITH {_NATIVE} SELECT doc_id, page_num, coalesce(is_born_digital, false) AND (coalesce(has_tables, false) OR coalesce(has_figures, false) OR coalesce(has_equations, false)) AS enhance FROM n",
     "q_engine_texts": f"WITH {_ATTEMPTS}, x AS (SELECT *, text AS t FROM a WHERE lower(engine) IN ('deepseek', 'deepseek-vllm', 'glm')) SELECT doc_id, page_num, attempt_seq, length({_DROPPED}) AS n_chars, md5({_DROPPED}) AS hash FROM x",
+    "q_missing_images": rf"""WITH {_ATTEMPTS}, x AS (SELECT doc_id, page_num, attempt_seq, regexp_extract_all(text, '!\[[^\]]*\]\(\s*([^)]+?)\s*\)', 1) AS refs FROM a WHERE contains(text, '![')),
+r AS (SELECT doc_id, page_num, attempt_seq, unnest(refs) AS ref FROM x)
+SELECT x.doc_id, x.page_num, x.attempt_seq, len(refs) AS had, (SELECT count(*) FROM r WHERE r.doc_id = x.doc_id AND r.page_num = x.page_num AND r.attempt_seq = x.attempt_seq
+  AND (regexp_matches(ref, '^(?:https?://|data:)') OR ref IN (SELECT name FROM file_listing))) AS keeps FROM x""",
     "q_best_reading": _SCORED
     + """SELECT doc_id, page_num, attempt_seq, viable, n_attempts, any_passed, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY viable DESC, CASE WHEN viable THEN score END DESC NULLS LAST, attempt_seq) AS k,
   count(*) OVER (PARTITION BY doc_id, page_num) AS n_attempts, max(coalesce(audit_passed, false)::INT) OVER (PARTITION BY doc_id, page_num) = 1 AS any_passed FROM scored) WHERE k = 1""",
