@@ -41,14 +41,14 @@ def p1_repeated_shares(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return truncation.truncated_texts(table(spark, sf_dir, "attempts")).select("doc_id", "page_num", "attempt_seq")
+    return truncation.truncated_texts(table(spark, sf_dir, "attempts"), layers=table(spark, sf_dir, "page_assessment")).select("doc_id", "page_num", "attempt_seq")
 
 
 def p3_truncation_rates(spark, sf_dir):
     """engine, n_texts, n_cut, rate: how often each source truncates."""
     attempts = table(spark, sf_dir, "attempts")
     keys = ["doc_id", "page_num", "attempt_seq"]
-    cut = truncation.truncated_texts(attempts).select(*keys, F.lit(1).alias("cut"))
+    cut = truncation.truncated_texts(attempts, layers=table(spark, sf_dir, "page_assessment")).select(*keys, F.lit(1).alias("cut"))
     texts = attempts.where("trim(text) <> ''").select(*keys, F.lower(F.trim("engine")).alias("engine")).dropDuplicates(keys)
     return texts.join(cut, keys, "left").groupBy("engine").agg(F.count("*").alias("n_texts"), F.count("cut").alias("n_cut"), (F.count("cut") / F.count("*")).alias("rate"))
 

@@ -151,9 +151,11 @@ def storage_limits(unfinished: DataFrame, source: str) -> DataFrame:
     )
 
 
-def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_num", seq: str = "attempt_seq", source: str = "engine", text: str = "text") -> DataFrame:
+def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_num", seq: str = "attempt_seq", source: str = "engine", text: str = "text", layers: DataFrame | None = None, layer_text: str = "native_text") -> DataFrame:
     """doc, page, seq, source, reason, limit_encoding, limit_length for each cut text; sources are compared in lower case.
 
+    layers (doc, page, layer_text): other texts of the pages, at whose tops a sentence may go on.
+
     Rows that occur twice come out once; rows with a null in doc, page or seq are left out.  Null, empty and blank texts are never cut; text that isn't prose (lists, tables,
     broken characters) isn't either.  A null source is a source of its own.  Readings of one page that end alike are taken
     to end with it.  Texts of any length are read whole; an empty table gives an empty result.
@@ -166,7 +168,7 @@ def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_
     def make():
         def inspect(t: str) -> tuple | None:
             found = ending(t)
-            return found and (*found, end_words(t[-EDGE:]), len(t), *lengths(t))
+            return found and (*found, end_words(t[-EDGE:]), len(without_markup(t).split()), *lengths(t))
 
         return inspect
 
@@ -181,10 +183,13 @@ def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_
         .agg(F.max(F.struct("n", (-F.expr(f"array_position(array({','.join(repr(e) for e in ENCODINGS)}), encoding)")).alias("first"), "encoding", "length")).alias("hit"))
         .select(*keys, F.col("hit.encoding").alias("limit_encoding"), F.col("hit.length").alias("limit_length"))
     )
-    edges = rows.select(*keys, F.substring("body", 1, EDGE).alias("head"), F.substring("body", -EDGE, EDGE).alias("tail"), F.length("body").alias("size"))
-    ends = per_row(edges, [*keys, "size"], ["head", "tail"], lambda: lambda h, t: (goes_on(h), end_words(t)), [("goes_on", "boolean"), ("end_words", "string")])
+    ends = per_row(rows, keys, ["body"], lambda: lambda t: (goes_on(t[:EDGE]), end_words(t[-EDGE:]), len(without_markup(t).split())), [("goes_on", "boolean"), ("end_words", "string"), ("size", "int")])
     ends = checkpoint(ends.dropDuplicates(keys))
-    following = ends.groupBy(doc, (F.col(page) - 1).alias(page)).agg(F.max("goes_on").alias("goes_on"))
+    heads = ends.select(doc, page, "goes_on")
+    if layers is not None:
+        tops = layers.dropna(subset=[doc, page]).where(F.trim(layer_text) != "").select(doc, page, F.substring(layer_text, 1, EDGE).alias("head"))
+        heads = heads.unionByName(per_row(tops, [doc, page], ["head"], lambda: lambda h: (goes_on(h),), [("goes_on", "boolean")]))
+    following = heads.groupBy(doc, (F.col(page) - 1).alias(page)).agg(F.max("goes_on").alias("goes_on"))
     alike = ends.groupBy(doc, page, "end_words").agg(F.count("*").alias("alike"))
     longest = ends.groupBy(doc, page).agg(F.max("size").alias("longest"))
     known = word_counts(rows, "body").join(found.select(F.col("last_word").alias("word")).distinct(), "word", "left_semi")
@@ -198,7 +203,8 @@ def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_
     )
     continued = F.coalesce("goes_on", F.lit(False))
     same = F.coalesce("alike", F.lit(1)) > 1
-    more = F.col("longest") > F.col("size") + 15
+    # Where the next page goes on, a header or words torn apart must not pass for a longer reading.
+    more = F.col("longest") > F.col("size") + F.when(continued, 10 + 0.06 * F.col("size")).otherwise(2)
     at_limit = F.col("limit_length").isNotNull()
     broken = F.col("whole_word").isNull()
     reason = (
