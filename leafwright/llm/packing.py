@@ -19,6 +19,8 @@ from ..common import checkpoint
 
 #: Texts in a group, on average.
 GROUP = 4000
+#: Kinds of containers; the table of them is small and fixed.
+MOST_KINDS = 100
 
 
 def tokenizer(path: str):
@@ -100,14 +102,18 @@ def packed(df: DataFrame, key: str, text: str, limits: DataFrame, path: str | No
     A text over the capacity is split into full containers of its own and a rest that is packed like a text (part counts
     from 0); others are never split.  fill is the container's tokens over its capacity.  Null and empty texts have no
     tokens and stand in no container.  A key that occurs twice is packed once (the longer text).  limits: pack_name,
-    capacity_tokens, a small fixed table; null or non-positive capacities are left out.
+    capacity_tokens, a small fixed table (at most MOST_KINDS); null or non-positive capacities are left out.
     """
-    spark = df.sparkSession
     sizes = checkpoint(token_counts(df, key, text, path or default_tokenizer()).where("n_tokens > 0").groupBy(key).agg(F.max("n_tokens").alias("n_tokens")))
     groups = max(1, -(-sizes.count() // GROUP))
-    spark_limits = limits.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct()
-    # limits has a row for each kind of container; texts are multiplied by it on purpose
-    each = sizes.join(F.broadcast(spark_limits)).withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    kinds = limits.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    if not kinds:
+        sizes, kinds = sizes.limit(0), [("", 1)]
+    # every text is packed once for each kind of container
+    kind_ = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity_tokens")) for n, c in kinds]))
+    each = sizes.withColumn("_k", kind_).select(key, "n_tokens", "_k.*").withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
     kind = dict(df.dtypes)[key]
 
     def run(pdf):
