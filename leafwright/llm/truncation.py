@@ -25,6 +25,7 @@ ENCODINGS = ("chars", "utf8", "crlf", "json", "html")
 #: A limit: at least so many unfinished texts, and so many times the mean of the lengths around it.
 LEAST_AT_LIMIT, OVER_NEIGHBOURS, NEIGHBOURS = 6, 8.0, 12
 
+_NUMBER_GOES_ON = re.compile(r"\d[\d.,]*%?\s+(?:[^\W\dA-Z]|[^\W\d_]+\s+[^\W\dA-Z_]+\s+[^\W\dA-Z_]+)")
 _MARK = re.compile(r"(?:\.{3,}|…|\[[.…]+\]|\[(?:cut|truncated|continued|more|snip)[^\]]*\]|\((?:cut|truncated|continued|more)[^)]*\)|<(?:truncated|cut)[^>]*>|-{3,}|\[?\.\.\.[a-z ]*\]?)\s*$", re.I)
 _ENDED = re.compile(r"[.!?:;]['\"”’»)\]}*_`]*\s*$")
 _LAST_TAG = re.compile(r"</?(\w+)[^<>]{0,200}>$")
@@ -95,16 +96,26 @@ def ending(text: str) -> tuple | None:
     return bool(mark), (tokens[-1].strip(_EDGES).lower() if tokens else ""), heading
 
 
+def _heads(line: str) -> bool:
+    """Whether a page's first line looks like a running header: short, and most words of more than three letters begin with capitals."""
+    long = [w for w in words_of_case(line) if len(w) > 3]
+    return len(line) < 75 and not line.endswith((".", ",", ";", ":")) and sum(w[0].isupper() for w in long) >= 0.75 * len(long)
+
+
+def words_of_case(line: str) -> list[str]:
+    return [w for w in (t.strip(_EDGES) for t in line.split()) if w[:1].isalpha()]
+
+
 def goes_on(head: str) -> bool:
     """Whether a page begins inside a sentence; a page number or a header line above doesn't matter."""
-    seen = 0
     for line in without_markup(head).split("\n"):
         line = line.strip()
         if line and not is_page_number(line):
-            if line[0].islower() or line[0].isdigit() and len(line) > 45 and line[:6].strip("0123456789.,%")[:2].strip():
+            if line[0].islower():
+                return True
+            if line[0].isdigit() and _NUMBER_GOES_ON.match(line) and len(line) > 45 and "...." not in line:
                 return True
-            seen += 1
-            if seen == 2 or len(line) > 90 or line.endswith((".", ",", ":")):
+            if not _heads(line):
                 return False
     return False
 
