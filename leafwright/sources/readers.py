@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import file_stem, is_blank, strip
 
@@ -69,16 +70,22 @@ def read_pages(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.mapInPandas(run, "path string, page_num int, text string, n_fonts int, n_images int, n_tables int, error string")
 
 
+def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """value, f: content and path of each file; Spark leaves out files without a byte."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.decode("content", "UTF-8").alias("value"), F.col("path").alias("f"))
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """paper, page_num, truth of the files <paper>/page_<n>.txt under path."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "page_*.txt").text(path).select("*", F.col("_metadata.file_path").alias("_f"))
+    """paper, page_num, truth of the files <paper>/page_<n>.txt under path; an empty file is no truth."""
+    rows = _whole_files(spark, path, "page_*.txt").withColumnRenamed("f", "_f")
     found = F.regexp_extract("_f", r"([^/]+)/page_(\d+)\.txt$", 2)
     return rows.where(found != "").select(F.regexp_extract("_f", r"([^/]+)/page_\d+\.txt$", 1).alias("paper"), found.cast("int").alias("page_num"), strip(F.col("value")).alias("truth"))
 
 
 def read_engine_output(spark: SparkSession, path: str) -> DataFrame:
     """stem, text: of each document's Markdown the file <stem>/<stem>.md, else <stem>.md, else the first other one in its folder."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select("value", F.col("_metadata.file_path").alias("f"))
+    rows = _whole_files(spark, path, "*.md")
     name, folder = F.regexp_extract("f", r"([^/]+)\.md$", 1), F.regexp_extract("f", r"([^/]+)/[^/]+\.md$", 1)
     root = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
     stem = F.when(folder == root, name).otherwise(folder)
@@ -88,10 +95,14 @@ def read_engine_output(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, schema: str, corrupt_is_empty: bool = False) -> DataFrame:
     """A JSON file of one object or an array; corrupt_is_empty leaves out what can't be read (a ledger starts fresh)."""
-    reader = spark.read.option("multiLine", "true")
     if not corrupt_is_empty:
-        return reader.option("mode", "FAILFAST").schema(schema).json(path)
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path).where("_bad is null").drop("_bad")
+        return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
+    whole = spark.read.format("binaryFile").load(path).select(F.from_json(F.decode("content", "UTF-8"), f"array<struct<{', '.join(f'{n}: {t}' for n, t in _columns(schema))}>>").alias("rows"))
+    return whole.selectExpr("inline(filter(rows, r -> r is not null))")
+
+
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
 
 
 def require_files(papers: DataFrame, files: DataFrame, path: str = "pdf_path") -> DataFrame:

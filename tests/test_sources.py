@@ -24,7 +24,7 @@ def test_ground_truth_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([("p", 1, " first "), ("p", 2, ""), ("p", 10, "tenth")], "paper string, page_num int, truth string")
     writers.write_ground_truth(pages, str(tmp_path))
     got = {r.page_num: r.truth for r in readers.read_ground_truth(spark, str(tmp_path)).collect()}
-    assert got == {1: "first", 2: "", 10: "tenth"} and (tmp_path / "p/full.txt").read_text() == " first \n\ntenth"
+    assert got == {1: "first", 10: "tenth"} and (tmp_path / "p/page_2.txt").read_text() == "" and (tmp_path / "p/full.txt").read_text() == " first \n\ntenth"
 
 
 def test_markdown_and_engine_output(spark, tmp_path):
