@@ -26,9 +26,9 @@ MODE_OF = {"empty": "empty_output", "refusal": "refusal", "cid": "garbage", "loo
 NOT_GARBAGE = rf"\p{{L}}\p{{N}}_{SPACE}.,!?;:'\"()\[\]{{}}<>@#$%&*+=/\\\-"
 
 
-def refuses(text: Column) -> Column:
+def refuses(text: Column, n_words: Column | None = None) -> Column:
     """A refusal anywhere in a text of fewer than 200 words, or in the first 500 characters of a longer one."""
-    return F.when(word_count(text) < 200, text).otherwise(F.substring(text, 1, 500)).rlike("(?iu)" + "|".join(REFUSALS))
+    return F.when((word_count(text) if n_words is None else n_words) < 200, text).otherwise(F.substring(text, 1, 500)).rlike("(?iu)" + "|".join(REFUSALS))
 
 
 def loops(text: Column) -> Column:
@@ -81,7 +81,7 @@ def audited(df: DataFrame, text: str, expected_pages: Column | None = None, min_
     body = F.coalesce(F.col(text), F.lit(""))
     pages = F.coalesce(expected_pages, F.lit(0)) if expected_pages is not None else F.lit(0)
     df = df.withColumns({"_n": word_count(body), "_g": garbage_ratio(body), "_m": mean_word_length(body), "_blank": is_blank(body)})
-    df = df.withColumn("_refusal", ~F.col("_blank") & refuses(body))
+    df = df.withColumn("_refusal", ~F.col("_blank") & refuses(body, F.col("_n")))
     n = F.col("_n")
     failing = {
         "cid": body.rlike(r"\(cid:\d+\)"),
