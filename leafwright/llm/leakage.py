@@ -1,28 +1,32 @@
 """Evaluation texts leaking into training text.
 
-The normalised passages of all test items form one generalised suffix automaton over words.  Each document is streamed
-through it, which gives at every word the longest stretch that also stands in a passage.  Stretches that are long, or
-that few passages have, name candidates; for these the exact condition is checked: a stretch of the document, at most
-``STRETCH`` times as long as the passage, that carries at least ``COVER`` of the passage's words in order.
+A pair is an item and a document of which a stretch, at most ``STRETCH`` times as long as the passage, carries at least
+``COVER`` of the passage's words in order, and ``PAIRS`` of its pairs of neighbours if that is asked for.  Nothing names
+candidates beforehand: passages of about the same length lie side by side in one long number, and bit-parallel steps over
+the words of a document give the longest common subsequences with all of them at once, block by block.  A block can't
+have less than the stretches in it, so those that reach ``COVER`` are halved until the best stretch is known exactly.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVER, STRETCH = 0.4, 1.5
-#: A match of so many words always names its passages; a shorter one of at least SHORT words does if at most FEW passages have it.
-LONG, SHORT, FEW = 5, 3, 6
-#: Part of the passage's words that stand in such matches of a candidate, and part of its pairs of neighbours found in order:
-#: scattered function words alone are no passage.
-MATCHED, PAIRS = 0.2, 0.28
-#: Items whose automaton one task holds: more are worked off in blocks, each of which streams the documents again.
+#: Part of the passage's words that its pairs of neighbours found in order must come to: scattered function words alone are no passage.
+PAIRS = 0.28
+#: Least length of the matches that Automaton gives.
+SHORT = 3
+#: Passages lie in one number if the longest has at most so many times the words of the shortest, and at most so many of 64 bits together.
+ALIKE, LIMBS = 1.3, 256
+#: Words of the items that one task holds: more are worked off in blocks, each of which streams the documents again.
 BLOCK_WORDS = 2_000_000
 
 _BREAK = re.compile(r"[-¬\xad‐]\s*\n\s*(?=[^\W\d_])|\xad")
@@ -143,68 +147,108 @@ def _masks(sequence) -> dict:
     return masks
 
 
+class Group:
+    """Passages of about the same length in one number, each in 64-bit limbs of its own with a free bit at its end that stops carries."""
+
+    def __init__(self, passages: list[list[int]]):
+        self.passages = passages
+        self.masks: dict[int, int] = {}
+        self.full, at, starts = 0, 0, []
+        for s in passages:
+            starts.append(at)
+            self.full |= ((1 << len(s)) - 1) << 64 * at
+            for i, c in enumerate(s):
+                self.masks[c] = self.masks.get(c, 0) | 1 << 64 * at + i
+            at += len(s) // 64 + 1
+        self.limbs, self.starts = at, np.array(starts)
+        self.lengths = np.array([len(s) for s in passages])
+        self.least = np.array([least(len(s)) for s in passages])
+        self.size = max(int(STRETCH * len(s)) for s in passages)
+
+    def reached(self, masks: list[int]) -> list[int]:
+        """The passages of which the words with these masks carry at least COVER in order."""
+        v = full = self.full
+        for x in masks:
+            u = v & x
+            if u:
+                v = ((v + u) | (v ^ u)) & full
+        left = np.add.reduceat(np.bitwise_count(np.frombuffer(v.to_bytes(8 * self.limbs, "little"), "<u8")), self.starts, dtype=np.int64)
+        return np.flatnonzero(self.lengths - left >= self.least).tolist()
+
+
+def least(m: int) -> int:
+    """The least number of words that is at least COVER of m."""
+    return math.ceil(COVER * m - 1e-9)
+
+
+def greatest(masks: dict, pairs: dict, m: int, least_pairs: float, sequence: list[int], low: int, high: int, best: int) -> int:
+    """Most words of a passage in order in a stretch that starts from low to high (exclusive), or best if none has more.
+
+    Only stretches with least(m) words and least_pairs pairs of neighbours count.
+    """
+    size, floor = int(STRETCH * m), least(m)
+    parts = [(low, high)]
+    while parts:
+        a, b = parts.pop()
+        window = sequence[a : b - 1 + size]
+        got = in_order(masks, m, window)
+        if got <= best or got < floor or least_pairs > 0 and in_order(pairs, m - 1, list(zip(window, window[1:]))) < least_pairs:
+            continue
+        if b - a == 1 or len(sequence) - a <= size:
+            best = got
+        else:
+            middle = (a + b) // 2
+            parts += [(middle, b), (a, middle)]
+    return best
+
+
 class Finder:
-    """The items of one block and their automaton."""
+    """The items of one block; equal passages are looked for once."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [k for k, _ in items]
+    def __init__(self, items: list[tuple[int, str]], pairs: float = PAIRS):
+        self.least_pairs = pairs
         self.code: dict[str, int] = {}
         code = self.code
-        self.items = [[code.setdefault(w, len(code)) for w in words(passage(t))] for _, t in items]
-        self.automaton = Automaton(self.items)
-        self.masks = [_masks(s) for s in self.items]
-        self.pairs = [_masks(zip(s, s[1:])) for s in self.items]
+        self.ids: dict[tuple[int, ...], list[int]] = {}
+        for k, t in items:
+            if s := tuple(code.setdefault(w, len(code)) for w in words(passage(t))):
+                self.ids.setdefault(s, []).append(k)
+        self.groups: list[Group] = []
+        held: list[tuple[int, ...]] = []
+        limbs = 0
+        for s in sorted(self.ids, key=lambda s: (len(s), s)):
+            if held and (len(s) > ALIKE * len(held[0]) or limbs + len(s) // 64 + 1 > LIMBS):
+                self.groups.append(Group(held))
+                held, limbs = [], 0
+            held.append(s)
+            limbs += len(s) // 64 + 1
+        if held:
+            self.groups.append(Group(held))
+        self.masks = {s: (_masks(s), _masks(zip(s, s[1:]))) for s in self.ids}
 
     def find(self, text: str | None) -> list[tuple[int, float]]:
-        """item and greatest share of its words in order, for the items of which the text has at least COVER."""
+        """item and greatest share of its words in order in a stretch, for the items of which the text has at least COVER."""
         if not text:
             return []
         get = self.code.get
         sequence = [get(w, -1) for w in words(text)]
-        places: dict[int, list[tuple[int, int]]] = {}
-        owners = self.automaton.owners
-        for end, n, state in self.automaton.matches(sequence):
-            own = owners[state]
-            if n >= LONG or len(own) <= FEW:
-                for k in own:
-                    places.setdefault(k, []).append((end - n, n))
         found = []
-        for k, matched in places.items():
-            m = len(self.items[k])
-            if sum(n for _, n in matched) >= MATCHED * m:
-                share = self._cover(k, m, matched, sequence)
-                if share >= COVER:
-                    found.append((self.ids[k], share))
+        for g in self.groups:
+            size, has = g.size, g.masks.get
+            masks = [has(c, 0) for c in sequence]
+            best: dict[int, int] = {}
+            for low in range(0, max(1, len(sequence) - int(STRETCH * len(g.passages[0])) + 1), size):
+                for k in g.reached(masks[low : low + 2 * size]):
+                    s = g.passages[k]
+                    best[k] = greatest(*self.masks[s], len(s), self.least_pairs * len(s), sequence, low, low + size, best.get(k, 0))
+            found += [(i, n / len(g.passages[k])) for k, n in best.items() if n for i in self.ids[g.passages[k]]]
         return found
 
-    def _cover(self, k: int, m: int, matched: list[tuple[int, int]], sequence: list[int]) -> float:
-        """Greatest share over the stretches whose matches make up MATCHED of the passage."""
-        size = int(STRETCH * m)
-        best, until, j, total = 0, -1, 0, 0
-        for i, (at, n) in enumerate(matched):  # ascending; matched[j : i + 1] lie in one stretch
-            total += n
-            while at + n - matched[j][0] > size and j < i:
-                total -= matched[j][1]
-                j += 1
-            if total < MATCHED * m or at < until:
-                continue
-            low, high = max(0, at + n - size), min(len(sequence), matched[j][0] + size)
-            if in_order(self.masks[k], m, sequence[low:high]) < COVER * m:
-                continue
-            step = max(1, size // 16)
-            for start in range(low, max(low + 1, high - size + step), step):
-                window = sequence[start : start + size]
-                got = in_order(self.masks[k], m, window)
-                if got > best and got >= COVER * m and in_order(self.pairs[k], m - 1, list(zip(window, window[1:]))) >= PAIRS * m:
-                    best = got
-            if best >= COVER * m:
-                until = at + size // 2
-        return best / m
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", pairs: float = PAIRS) -> DataFrame:
     """item, doc, cover: the items of which a document has at least COVER of the passage, and how much.
 
+    pairs: part of the passage's words that the pairs of neighbours found in order must come to; 0 asks for the words alone.
     Null and empty texts leak nothing.  Items with the same passage each come out.  A pair comes out once, with its
     greatest cover, even if rows are repeated.  The items are read to the driver in blocks of BLOCK_WORDS words, each of
     which is streamed over all documents; an empty table of either gives an empty result.
@@ -225,7 +269,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", te
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value)
+            finder = Finder(shared.value, pairs)
             for b in batches:
                 rows = [(k, i, c) for i, t in enumerate(b.column(1).to_pylist()) for k, c in finder.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), b.column(0).take(pa.array([r[1] for r in rows], pa.int64())), pa.array([r[2] for r in rows], pa.float64())], names=[item, doc, "cover"])

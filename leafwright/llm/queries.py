@@ -105,12 +105,12 @@ def p8_containers(spark, sf_dir):
 
 
 def p9_found(spark, sf_dir):
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), pairs=0).select("item_id", "doc_id")
 
 
 def p9_leaked_items(spark, sf_dir):
     """item_id, n_docs, most: how many documents each leaked item stands in, and the greatest part of it that does."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("cover").alias("most"))
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), pairs=0).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("cover").alias("most"))
 
 
 def p10_found(spark, sf_dir):

@@ -71,3 +71,36 @@ def test_blocks_of_items(spark, monkeypatch):
 def test_passage():
     assert L.passage("Answer this.\nA long passage of several words follows here and goes on.") == "A long passage of several words follows here and goes on."
     assert L.passage("one line only") == "one line only"
+
+
+@pytest.mark.parametrize("pairs", (0, L.PAIRS))
+def test_every_pair_of_the_statement_is_found(pairs):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(8, 90)))) for k in range(25)]
+    finder = L.Finder(items, pairs)
+    hits = 0
+    for _ in range(40):
+        doc = r.choices(vocabulary + [f"x{i}" for i in range(8)], k=r.randint(1, 120))
+        expected = {}
+        for k, t in items:
+            s = t.split()
+            size, best = int(L.STRETCH * len(s)), 0
+            for at in range(max(1, len(doc) - size + 1)):
+                window = doc[at : at + size]
+                if lcs(list(zip(s, s[1:])), list(zip(window, window[1:]))) >= pairs * len(s):
+                    best = max(best, lcs(s, window))
+            if best >= L.COVER * len(s):
+                expected[k] = best / len(s)
+        assert dict(finder.find(" ".join(doc))) == expected
+        hits += len(expected)
+    assert hits > 20 or pairs
+
+
+def test_scattered_words_are_a_pair_if_words_alone_are_asked_for(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    scattered = " ".join(f"w{2 * i} other" for i in range(25))
+    d = spark.createDataFrame([(1, scattered)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert [r.cover for r in L.leaked_items(d, i, pairs=0).collect()] == [0.5]
+    assert L.leaked_items(d, i).count() == 0
