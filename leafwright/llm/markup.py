@@ -1,10 +1,11 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX syntax and the layout tags of engines, found and turned into clean text.
 
-Which signs are markup is deduced by equivalence classes: over all pages of a source, tokens that occur equally often on
-every page (equal occurrence vectors, compared by a hash of the vector) belong together, as the opening and closing tags
-and the fixed parts of a template do.  A class is valid if its tokens follow one another in a fixed order and its classes
-nest; its tokens are the template, what lies between them are the slots, which ``clean`` extracts.  Signs that are markup
-only in pairs count where the grammar pairs them.
+A grammar finds the tokens, and nearly all rows come from it: signs that are markup only in pairs count where it pairs
+them.  Equivalence classes settle what it leaves open, which is a text whose only token is a single "* " item: over all
+pages of a source, tokens that occur equally often on every page (equal occurrence vectors, compared by a hash of the
+vector) belong together.  A class is valid if its tokens have different mean places over the source; whether they keep
+their order on each page and whether classes nest isn't tested, and no slots are extracted: ``clean`` is made of regular
+expressions and knows no templates.
 """
 
 from __future__ import annotations
