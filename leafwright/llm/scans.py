@@ -86,13 +86,15 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
 def _grams(word, spread: int = 0):
     """Trigrams at fixed places from the start (s) and from the end (e), each with the word's length, give or take ``spread``.
 
-    One wrong character leaves some of them whole.  The lengths keep the lists of common trigrams apart, so they don't meet
-    as a whole.
+    Words of up to six letters, whose trigrams may all hold the wrong character, also have their first and last letter
+    together (x): one wrong character leaves some of these whole.  The lengths keep the lists of common trigrams apart, so
+    they don't meet as a whole.
     """
     n = F.length(word)
     starts = [F.when(n >= 3 + i, F.concat(F.lit(f"s{i}"), F.substring(word, 1 + i, 3))) for i in range(3)]
     ends = [F.when(n >= 3 + i, F.concat(F.lit(f"e{i}"), F.substring(word, -3 - i, 3))) for i in range(3)]
-    grams = F.array_compact(F.array(*starts, *ends))
+    inner = F.when(n <= 8 - spread, F.concat(F.lit("x"), F.substring(word, 1, 1), F.substring(word, -1, 1)))  # a misreading may have two letters more
+    grams = F.array_compact(F.array(*starts, *ends, inner))
     return F.explode(F.flatten(F.transform(grams, lambda g: F.transform(F.sequence(n - spread, n + spread), lambda k: F.concat(g, k.cast("string"))))))
 
 

@@ -75,3 +75,12 @@ def test_ranker_on_held_out_words():
 
 def test_canonical():
     assert S.canonical("12  HOUSlNG of 5igns  Vol. 7") == S.canonical("Housing of signs Vol. 8")
+
+
+def test_errors_inside_short_words(spark):
+    rng = random.Random(4)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("al", "er", "in", "or", "un")]
+    read = {"tirne": "time", "thcse": "these", "wcek": "week", "nolsy": "noisy", "moclel": "model", "kemel": "kernel", "sh0ws": "shows"}
+    rows = [("".join(rng.sample(syllables, 3)), rng.randint(2000, 5000)) for _ in range(300)] + [(w, 2000) for w in read.values()] + [(w, 2) for w in read]
+    counts = spark.createDataFrame(rows, "word string, n long").groupBy("word").agg({"n": "max"}).toDF("word", "n")
+    assert {r.word: r.replacement for r in S.corrections(counts).collect()} == read
