@@ -72,34 +72,84 @@ def has_structure(text: Column) -> Column:
     return text.rlike(r"(?m)^#+\s+[\p{L}\p{N}_]") | text.rlike(r"(?m)^\d+\.\s+[\p{L}\p{N}_]") | text.rlike(r"(?m)^[-*•]\s+[\p{L}\p{N}_]") | (F.size(F.split(text, "\n\n", -1)) > 2)
 
 
-def audited(df: DataFrame, text: str, expected_pages: Column | None = None, min_words: int = 50, max_garbage: float = 0.15, shortest: float = 2.0, longest: float = 15.0) -> DataFrame:
-    """df with n_words, mean_word_length, garbage_ratio, errors, warnings, passed, modes, primary_failure, confidence.
+# What the details say of each failing metric, and the names of the metrics that warn.
+DETAILS = {
+    "empty": "No text extracted from document", "refusal": "Model refused to process the input", "cid": "PDF font mapping failures (CID references)",
+    "loops": "Repeated sentence patterns indicate model hallucination loop", "formatting": "Model hallucinated formatting instructions instead of OCR output",
+    "word_count": "Extracted text has too few words", "truncation": "Output appears truncated relative to document page count", "garbage": "High ratio of non-text characters",
+}
+VALUES = {"empty": "No text extracted", "refusal": "Model refused to process image", "cid": "PDF font mapping failures detected", "loops": "Repeated sentence patterns detected"}
+WARNINGS = {"mean_word_length": "Avg word length", "unicode": "Unicode issues", "patterns": "Repeated patterns"}
 
-    Empty texts and refusals fail with that alone; null counts as empty.  expected_pages of 5 or fewer, and null, check no
-    truncation.  modes are in the order of the metrics, each once; primary_failure is the one of the highest priority.
+
+def measured(df: DataFrame, text: str, min_words: int = 50, max_garbage: float = 0.15, shortest: float = 2.0, longest: float = 15.0) -> DataFrame:
+    """df with what the text alone tells: n_words, mean_word_length, garbage_ratio, n_formatting, unicode_issues, patterns, failing, warnings.
+
+    failing: the metrics that fail, in their order, truncation aside; "empty" and "refusal" stand alone.  Narrow columns in
+    one pass over the texts: take these, not the texts, through joins and aggregations, and ``judged`` after them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    pages = F.coalesce(expected_pages, F.lit(0)) if expected_pages is not None else F.lit(0)
-    df = df.withColumns({"_n": word_count(body), "_g": garbage_ratio(body), "_m": mean_word_length(body), "_blank": is_blank(body)})
-    df = df.withColumn("_refusal", ~F.col("_blank") & refuses(body, F.col("_n")))
-    n = F.col("_n")
-    failing = {
+    df = df.withColumns({"n_words": word_count(body), "garbage_ratio": garbage_ratio(body), "mean_word_length": mean_word_length(body), "_blank": is_blank(body), "n_formatting": formatting_patterns(body)})
+    df = df.withColumns({"_refusal": ~F.col("_blank") & refuses(body, F.col("n_words")), "unicode_issues": unicode_issues(body), "patterns": repeated_patterns(body)})
+    checks = {
         "cid": body.rlike(r"\(cid:\d+\)"),
         "loops": loops(body),
-        "formatting": formatting_patterns(body) >= 2,
-        "word_count": n < min_words,
-        "truncation": (pages > 5) & (n > 0) & (n / pages < 100),
-        "garbage": (F.col("_g") > max_garbage) & (math_ratio(body) <= 0.3),
+        "formatting": F.col("n_formatting") >= 2,
+        "word_count": F.col("n_words") < min_words,
+        "garbage": (F.col("garbage_ratio") > max_garbage) & (math_ratio(body) <= 0.3),
     }
-    errors = F.when(F.col("_blank"), F.array(F.lit("empty"))).when(F.col("_refusal"), F.array(F.lit("refusal"))).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in failing.items()])))
-    soft = {"mean_word_length": ~F.col("_m").between(shortest, longest), "unicode": F.size(unicode_issues(body)) > 0, "patterns": F.size(repeated_patterns(body)) > 0}
+    failing = F.when(F.col("_blank"), F.array(F.lit("empty"))).when(F.col("_refusal"), F.array(F.lit("refusal"))).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()])))
+    soft = {"mean_word_length": ~F.col("mean_word_length").between(shortest, longest), "unicode": F.size("unicode_issues") > 0, "patterns": F.size("patterns") > 0}
     warnings = F.when(F.col("_blank") | F.col("_refusal"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in soft.items()])))
-    df = df.withColumns({"errors": errors, "warnings": warnings})
+    return df.withColumns({"failing": failing, "warnings": warnings}).drop("_blank", "_refusal")
+
+
+def judged(df: DataFrame, expected_pages: Column | None = None) -> DataFrame:
+    """df (see measured) with errors, passed, modes, primary_failure, confidence; failing goes.
+
+    Without expected pages, and for 5 or fewer, truncation isn't checked.  modes are in the order of the metrics, each once;
+    primary_failure is the one of the highest priority.
+    """
+    alone = F.array_contains("failing", "empty") | F.array_contains("failing", "refusal")
+    errors = F.col("failing")
+    if expected_pages is not None:
+        pages = F.coalesce(expected_pages, F.lit(0))
+        short = ~alone & (pages > 5) & (F.col("n_words") > 0) & (F.col("n_words") / pages < 100)
+        last = F.array(F.lit("garbage"))
+        errors = F.when(short, F.concat(F.array_except("failing", last), F.array(F.lit("truncation")), F.array_intersect("failing", last))).otherwise(F.col("failing"))
+    df = df.withColumn("errors", errors).drop("failing")
     mode = F.create_map(*[F.lit(x) for kv in MODE_OF.items() for x in kv])
     df = df.withColumn("modes", F.array_distinct(F.transform("errors", lambda e: mode[e])))
     rank = lambda m: F.array_position(F.array(*map(F.lit, PRIORITY)), m)
     primary = F.aggregate("modes", F.lit("none"), lambda a, m: F.when(rank(m) > F.when(a == "none", 0).otherwise(rank(a)), m).otherwise(a))
     e, w = F.size("errors"), F.size("warnings")
     confidence = F.when(e >= 2, 0.95).when((e == 1) & (w >= 1), 0.85).when(e == 1, 0.75).otherwise(1.0)
-    df = df.withColumns({"n_words": n, "mean_word_length": F.col("_m"), "garbage_ratio": F.col("_g"), "passed": e == 0, "primary_failure": primary, "confidence": confidence})
-    return df.drop("_n", "_g", "_m", "_blank", "_refusal")
+    return df.withColumns({"passed": e == 0, "primary_failure": primary, "confidence": confidence})
+
+
+def audited(df: DataFrame, text: str, expected_pages: Column | None = None, **limits) -> DataFrame:
+    """measured and judged; null counts as empty.  limits: those of measured."""
+    return judged(measured(df, text, **limits), expected_pages)
+
+
+def details(expected_pages: Column | None = None) -> Column:
+    """Map of failure mode -> what failed and its value, of a judged row; of several metrics of a mode the last holds."""
+    pages = F.coalesce(expected_pages, F.lit(0)) if expected_pages is not None else F.lit(0)
+    number = lambda c: c.cast("bigint").cast("string")
+    value = {k: F.lit(v) for k, v in VALUES.items()} | {
+        "formatting": F.concat(F.col("n_formatting").cast("string"), F.lit(" formatting instruction patterns detected")),
+        "word_count": F.col("n_words").cast("string"),
+        "truncation": F.concat(number(F.bround(F.col("n_words") / pages, 0)), F.lit(" words/page ("), F.col("n_words").cast("string"), F.lit(" words / "), number(pages), F.lit(" pages)")),
+        "garbage": F.format_string("%.1f%%", F.col("garbage_ratio") * 100),
+    }
+    entries = [F.when(F.array_contains("errors", k), F.struct(F.lit(MODE_OF[k]).alias("key"), F.concat(F.lit(f"{DETAILS[k]} ("), value[k], F.lit(")")).alias("value"))) for k in MODE_OF]
+    held = F.array_compact(F.array(*entries))
+    # the last of each mode: no later entry has its key
+    kept = F.filter(held, lambda x, i: ~F.exists(F.slice(held, i + 2, F.size(held)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["key"], x["value"])))
+
+
+def messages() -> Column:
+    """The warnings of a measured row as "name: value"."""
+    value = {"mean_word_length": F.format_string("%.1f", F.col("mean_word_length")), "unicode": F.array_join("unicode_issues", ", "), "patterns": F.concat(F.size("patterns").cast("string"), F.lit(" suspicious patterns"))}
+    return F.array_compact(F.array(*[F.when(F.array_contains("warnings", k), F.concat(F.lit(f"{n}: "), value[k])) for k, n in WARNINGS.items()]))

@@ -33,6 +33,11 @@ def split_pages(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.explode(pages_of(F.col(text))).alias("p")).select(*keys, "p.page_num", "p.text")
 
 
+def needs_chunking(documents: DataFrame, pages: str, threshold: int) -> DataFrame:
+    """The documents of more pages than the threshold; of an unknown number none."""
+    return documents.where(F.col(pages) > threshold)
+
+
 def fixed_chunks(documents: DataFrame, pages: str, size: int) -> DataFrame:
     """doc_id, chunk, first_page, last_page, n_pages: runs of ``size`` pages, the last as short as need be.  No pages, no chunks."""
     if size < 1:

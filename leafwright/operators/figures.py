@@ -6,22 +6,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import checkpoint
+from ..common import checkpoint, per_row
 
 GAP = 30.0
+#: Boxes of a page that one task clusters at a time; pages with more go through joins, with the same result.
+MOST_BOXES = 4000
 #: Rounds of label propagation after which something is wrong; path compression halves the distance each round.
 MOST_ROUNDS = 40
+CORNERS = ["x0", "y0", "x1", "y1"]
+
+
+def components(boxes: list[tuple[float, float, float, float]], gap: float) -> list[list[int]]:
+    """Places of the boxes of each connected component of boxes at most ``gap`` apart both ways; a sweep from left to right with union-find."""
+    root = list(range(len(boxes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    open_: list[int] = []
+    for i in sorted(root, key=lambda i: boxes[i][0]):
+        x0, y0, _, y1 = boxes[i]
+        open_ = [j for j in open_ if x0 - boxes[j][2] <= gap]
+        for j in open_:
+            if max(y0, boxes[j][1]) - min(y1, boxes[j][3]) <= gap:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        open_.append(i)
+    out: dict[int, list[int]] = {}
+    for i in range(len(boxes)):
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
 
 
 def clustered(boxes: DataFrame, keys: list[str], gap: float = GAP) -> DataFrame:
     """keys, x0, y0, x1, y1, n_boxes of the connected components of boxes (box_id, x0, y0, x1, y1) at most ``gap`` apart both ways.
 
-    Boxes with a null coordinate are left out, rows that occur twice count once.  Boxes meet only within the same cell of a
-    grid or in neighbouring ones, whose cells are as large as the page's largest box, so pages of many small boxes are no
-    cross product.
+    Boxes with a null coordinate are left out, rows that occur twice count once.  One shuffle brings the boxes of a page
+    together; pages of more than MOST_BOXES boxes are clustered by joins within the cells of a grid instead.
     """
-    corners = ["x0", "y0", "x1", "y1"]
-    rows = boxes.dropna(subset=corners).dropDuplicates([*keys, "box_id"]).select(*keys, "box_id", *corners)
+    rows = boxes.dropna(subset=CORNERS).select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in CORNERS])
+    large = checkpoint(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST_BOXES).drop("n"))
+    if large.isEmpty():
+        return _by_page(rows, keys, gap)
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(large[k])
+    return _by_page(rows.join(large, on, "left_anti"), keys, gap).unionByName(_by_joins(rows.join(large, on, "left_semi"), keys, gap))
+
+
+def _by_page(rows: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("box_id", *CORNERS))).alias("b"))  # at most MOST_BOXES
+    pages = pages.select(*keys, F.col("b.box_id").alias("ids"), *[F.col(f"b.{c}").alias(c) for c in CORNERS])
+    pages = pages.withColumn("ids", F.transform("ids", lambda x: x.cast("string")))
+
+    def cluster(ids: list, *corners: list) -> tuple:
+        held = {i: b for i, b in zip(ids, zip(*corners))}
+        found = list(held.values())
+        groups = [[found[i] for i in g] for g in components(found, gap)]
+        return [min(b[0] for b in g) for g in groups], [min(b[1] for b in g) for g in groups], [max(b[2] for b in g) for g in groups], [max(b[3] for b in g) for g in groups], [len(g) for g in groups]
+
+    found = per_row(pages, keys, ["ids", *CORNERS], lambda: cluster, [*((f"_{c}", "array<double>") for c in CORNERS), ("_n", "array<int>")])
+    each = found.select(*keys, F.explode(F.arrays_zip(*[f"_{c}" for c in CORNERS], "_n")).alias("g"))
+    return each.select(*keys, *[F.col(f"g._{c}").alias(c) for c in CORNERS], F.col("g._n").cast("bigint").alias("n_boxes"))
+
+
+def _by_joins(rows: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """Boxes meet only within the same cell of a grid or in neighbouring ones, whose cells are as large as the page's
+    largest box; labels are propagated along the pairs that are near."""
+    rows = rows.dropDuplicates([*keys, "box_id"])
     cell = rows.groupBy(*keys).agg(F.greatest(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0"))).alias("cell")).withColumn("cell", F.col("cell") + gap + 1.0)
     rows = checkpoint(rows.join(cell, keys).withColumns({"gx": F.floor(F.col("x0") / F.col("cell")), "gy": F.floor(F.col("y0") / F.col("cell"))}))
     a = rows.alias("a")
@@ -74,3 +129,25 @@ def numbered(figures: DataFrame, doc: str, page: str, per_page: int = 3, per_doc
     order = [F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")]
     on_page = figures.withColumn("_n", F.row_number().over(W.partitionBy(doc, page).orderBy(*order))).where(F.col("_n") <= per_page)
     return on_page.withColumn("figure_num", F.row_number().over(W.partitionBy(doc).orderBy(page, "_n"))).where(F.col("figure_num") <= per_document).drop("_n")
+
+
+def whole_page_figures(pages: DataFrame, regions: DataFrame, doc: str, page: str, drawings: int = 10) -> DataFrame:
+    """doc, page, x0, y0, x1, y1: on landscape pages (doc, page, width, height, n_drawings) of many drawings without any region one that takes most of the page."""
+    slides = pages.where((F.col("width") > F.col("height")) & (F.col("n_drawings") >= drawings)).join(regions.select(doc, page).distinct(), [doc, page], "left_anti")
+    at = {"x0": F.col("width") * 0.05, "y0": F.col("height") * 0.15, "x1": F.col("width") * 0.95, "y1": F.col("height") * 0.9}
+    return slides.select(doc, page, *[v.alias(k) for k, v in at.items()])
+
+
+def new_image_regions(images: DataFrame, regions: DataFrame, doc: str, page: str) -> DataFrame:
+    """image_regions that aren't among the regions already, by page and whole-number corners; of equal ones the first box_id."""
+    corner = [F.col(c).cast("bigint").alias(f"_{c}") for c in CORNERS]
+    keys = [doc, page, *(f"_{c}" for c in CORNERS)]
+    left = image_regions(images).select("*", *corner).join(regions.select(doc, page, *corner).distinct(), keys, "left_anti")
+    rest = [c for c in images.columns if c not in (doc, page)]
+    first = left.groupBy(*keys).agg(F.min_by(F.struct(*rest), "box_id").alias("b"))
+    return first.select(doc, page, *[F.col(f"b.{c}") for c in rest])
+
+
+def embedded_images(images: DataFrame, size: str = "size_bytes", least: int = 5000) -> DataFrame:
+    """Images embedded in a page (x0, y0, x1, y1, size in bytes) with enough area and bytes and no extreme proportions; equal ones stay."""
+    return image_regions(images).where(F.col(size) >= least)

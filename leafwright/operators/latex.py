@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What displayed formulas, environments and inline formulas look like.
 _DISPLAY = re.compile(r"\$\$([^$]+)\$\$")
 _ENVIRONMENT = re.compile(r"\\begin\{(equation|align|gather|multline)\*?\}(.+?)\\end\{\1\*?\}", re.S)
 _INLINE = re.compile(r"(?<!\$)\$(?!\$)([^$]+)\$(?!\$)")
@@ -77,17 +78,25 @@ def formula_blocks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": s, "content": c, "plain": p, "display": d} for s, c, p, d in blocks(t)] if t else [])
 
 
-def reconciled(attempts: DataFrame, primary: str = "deepseek-vllm", source: str = "nougat") -> DataFrame:
-    """doc_id, page_num, text, engines, n_merged, confidence for each page.
+def reconciled(attempts: DataFrame, primary: str = "deepseek-vllm", source: str = "nougat", pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_num, text, engines, engine, n_merged, confidence, status, error for each page.
 
     The base is the last reading of the primary engine, else the first of any; the last reading of the source engine gives
-    its formulas if it isn't the base.  attempts: doc_id, page_num, attempt_seq, engine, text, confidence.
+    its formulas if it isn't the base.  attempts: doc_id, page_num, attempt_seq, engine, text, confidence.  engine:
+    "reconciled(a,b)"; status: success with a text, else error.  pages (doc_id, page_num): pages of which there is no
+    reading come out as errors of their own.  Only pages of several readings are put together; the texts move once.
     """
-    rows = attempts.dropDuplicates(["doc_id", "page_num", "attempt_seq"]).withColumn("e", F.lower("engine"))
+    key = ["doc_id", "page_num"]
+    rows = attempts.select(*key, "attempt_seq", F.lower("engine").alias("e"), "text", "confidence")
     one = F.struct("e", "text", "confidence", "attempt_seq")
-    pages = rows.groupBy("doc_id", "page_num").agg(F.max_by(one, F.when(F.col("e") == primary, F.col("attempt_seq"))).alias("p"), F.min_by(one, "attempt_seq").alias("f"), F.max_by(one, F.when(F.col("e") == source, F.col("attempt_seq"))).alias("s"))
-    pages = pages.withColumn("b", F.coalesce("p", "f")).withColumn("merge", F.coalesce(F.col("s").isNotNull() & (F.col("b.e") != source), F.lit(False)))
-    plain_ = pages.where(~F.col("merge")).select("doc_id", "page_num", F.col("b.text").alias("text"), F.array("b.e").alias("engines"), F.lit(0).alias("n_merged"), F.col("b.confidence").alias("confidence"))
-    both = pages.where("merge").withColumn("m", merged_formulas("b.text", "s.text"))
-    both = both.select("doc_id", "page_num", "m.text", F.array("b.e", "s.e").alias("engines"), "m.n_merged", F.greatest("b.confidence", "s.confidence").alias("confidence"))
-    return plain_.unionByName(both)
+    found = rows.groupBy(*key).agg(F.max_by(one, F.when(F.col("e") == primary, F.struct("attempt_seq", "text"))).alias("p"), F.min_by(one, F.struct("attempt_seq", "text")).alias("f"), F.max_by(one, F.when(F.col("e") == source, F.struct("attempt_seq", "text"))).alias("s"))
+    found = found.withColumn("b", F.coalesce("p", "f")).withColumn("merge", F.coalesce(F.col("s").isNotNull() & (F.col("b.e") != source), F.lit(False)))
+    plain_ = found.where(~F.col("merge")).select(*key, F.col("b.text").alias("text"), F.array("b.e").alias("engines"), F.lit(0).alias("n_merged"), F.col("b.confidence").alias("confidence"))
+    both = found.where("merge").withColumn("m", merged_formulas("b.text", "s.text"))
+    both = both.select(*key, "m.text", F.array("b.e", "s.e").alias("engines"), "m.n_merged", F.greatest("b.confidence", "s.confidence").alias("confidence"))
+    out = plain_.unionByName(both).withColumn("error", F.lit(None).cast("string"))
+    if pages is not None:
+        gone = pages.select(*key).distinct().join(rows.select(*key).distinct(), key, "left_anti")
+        out = out.unionByName(gone.select(*key, F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("engines"), F.lit(0).alias("n_merged"), F.lit(0.0).alias("confidence"), F.lit("no engine gave output").alias("error")))
+    name = F.when(F.col("error").isNull(), F.concat(F.lit("reconciled("), F.array_join("engines", ","), F.lit(")")))
+    return out.select(*key, "text", "engines", name.alias("engine"), "n_merged", "confidence", F.when(F.coalesce("text", F.lit("")) != "", "success").otherwise("error").alias("status"), "error")

@@ -35,17 +35,25 @@ def next_engine(failure: Column, tried: Column, chain: Column, primary: Column,
     return F.coalesce(fit, F.get(left, 0))
 
 
-def repair_plan(attempts: DataFrame, chain: list[str], primary: str, enabled: tuple[str, ...] = ENGINES) -> DataFrame:
-    """doc_id, page_num, failure, tried, engine of the pages whose last reading failed the audit.
+def repair_plan(attempts: DataFrame, chain: list[str], primary: str, enabled: tuple[str, ...] = ENGINES, need: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_num, failure, tried, engine, reason of the pages to be read again; engine is null where all were tried.
 
-    failure is the mode of the most recent reading that has one, else empty_output; tried holds known engines only, sorted.
+    need: doc_id, page_num of these pages (``state.page_states``), among them pages without a reading; without it, those
+    whose last reading failed the audit.  failure is the mode of the most recent reading that has one, else empty_output;
+    tried holds known engines only, sorted.
     """
-    rows = attempts.where("page_num > 0").dropDuplicates(["doc_id", "page_num", "attempt_seq"]).withColumn("e", F.lower("engine"))
+    page = ["doc_id", "page_num"]
+    rows = attempts.where("page_num > 0").select(*page, "attempt_seq", F.lower("engine").alias("e"), "failure_mode", F.coalesce("audit_passed", F.lit(False)).alias("ok")).dropDuplicates([*page, "attempt_seq"])
     has = F.when((F.col("failure_mode") != "none"), F.col("attempt_seq"))
-    pages = rows.groupBy("doc_id", "page_num").agg(
-        F.coalesce(F.max_by("failure_mode", has), F.lit("empty_output")).alias("failure"),
-        F.sort_array(F.collect_set(F.when(F.col("e").isin(*enabled), F.col("e")))).alias("tried"),  # at most the known engines
-        F.max_by(F.coalesce("audit_passed", F.lit(False)), "attempt_seq").alias("passed"),
+    known = F.col("e").isin(*ENGINES)
+    pages = rows.groupBy(*page).agg(
+        F.max_by("failure_mode", has).alias("failure"),
+        F.sort_array(F.collect_set(F.when(known, F.col("e")))).alias("tried"),  # at most the known engines
+        F.max_by("ok", "attempt_seq").alias("passed"),
     )
-    failed = pages.where("not passed")
-    return failed.select("doc_id", "page_num", "failure", "tried", next_engine(F.col("failure"), F.col("tried"), _strings(chain), F.lit(primary), _strings(enabled)).alias("engine"))
+    failed = pages.where("not passed") if need is None else need.select(*page).join(pages, page, "left")
+    none = F.array().cast("array<string>")
+    failed = failed.select(*page, F.coalesce("failure", F.lit("empty_output")).alias("failure"), F.coalesce("tried", none).alias("tried"))
+    planned = failed.withColumn("engine", next_engine(F.col("failure"), F.col("tried"), _strings(chain).cast("array<string>"), F.lit(primary), _strings(enabled).cast("array<string>")))
+    reason = F.concat(F.lit("failure="), "failure", F.lit(", tried=["), F.array_join("tried", ", "), F.lit("], selected="), F.coalesce("engine", F.lit("none")))
+    return planned.withColumn("reason", reason)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: What an engine does: the content or text of a page -> (text, confidence).
+#: What an engine does: the content or text of a page, or a list of those of several pages -> (text, confidence).
 Engine = Callable[[object], tuple[str, float]]
 _ENGINES: dict[str, Engine] = {}
 
@@ -39,7 +40,7 @@ def run_engine(pages: DataFrame, name: str, content: str = "content") -> DataFra
                 began = time.monotonic()
                 text, confidence, failure, error = "", 0.0, "none", None
                 try:
-                    text, confidence = call(c)
+                    text, confidence = call(list(c) if isinstance(c, np.ndarray) else c)
                     failure = "none" if text and text.strip() else "empty_output"
                 except TimeoutError as e:
                     failure, error = "timeout", str(e)[:500]

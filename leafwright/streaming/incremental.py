@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.incremental import VersionedTable
@@ -38,3 +39,23 @@ def first_seen(events: DataFrame, keys: list[str], time: str, late: str = "2 hou
     """Each key's first row within the watermark; on a table simply the distinct keys' rows."""
     rows = events.withColumn("_t", F.col(time).cast("timestamp"))
     return (rows.withWatermark("_t", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else rows.dropDuplicates(keys)).drop("_t")
+
+
+def collected(rows: DataFrame, folder: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives until its source is exhausted, as a table under folder; mode: append or update.
+
+    Each batch is written under its number, so one that is run again replaces itself.  With update, the last row of each of
+    ``keys`` holds.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+
+    def batch(part: DataFrame, number: int) -> None:
+        part.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/{number:012d}")
+
+    rows.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    names = [c for c in held.columns if c != "_batch"]
+    if keys is None:
+        return held.select(*names)
+    rest = [c for c in names if c not in keys]
+    return held.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*[c if c in keys else F.col(f"r.{c}") for c in names])
