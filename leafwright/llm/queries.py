@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import checkpoint, table
 from . import abuse, leakage, markup, packing, quality, repetition, scans, splitting, truncation
 
 KEYS = ["src", "doc_id", "page_num", "seq"]
@@ -92,12 +92,24 @@ def p7_found(spark, sf_dir):
 
 
 def p7_clean_texts(spark, sf_dir):
-    return markup.clean_texts(_read(spark, sf_dir).where("text is not null").dropDuplicates(KEYS), KEYS, "text")
+    return markup.clean_texts(_read(spark, sf_dir).where("text is not null").dropDuplicates(KEYS), KEYS, "text", "engine")
 
 
 def p7_templates(spark, sf_dir):
-    """source, name, class, rank of the shapes that make up the templates of each engine."""
-    return markup.template_tokens(markup.occurrence_classes(markup.page_tokens(_read(spark, sf_dir), KEYS, "engine", "text")))
+    """source, name, class, rank, parent of the shapes that make up the templates of each engine."""
+    return markup.template_tokens(checkpoint(markup.page_tokens(_read(spark, sf_dir), KEYS, "engine", "text")))
+
+
+def p7_slots(spark, sf_dir):
+    """How many slots of each text each class of its engine's template has, and how long they are."""
+    slots = markup.template_slots(_read(spark, sf_dir), KEYS, "engine", "text")
+    return slots.groupBy(*KEYS, "class", "name").agg(F.count("*").alias("n_slots"), F.sum(F.length("content")).alias("n_chars"))
+
+
+def p7_decisions(spark, sf_dir):
+    """by (class, grammar), n_texts: what decided about the texts with markup."""
+    found = markup.markup_tokens(_read(spark, sf_dir), KEYS, "engine", "text")
+    return found.groupBy(F.when(F.col("by_class"), "class").otherwise("grammar").alias("by")).agg(F.count("*").alias("n_texts"))
 
 
 def p8_containers(spark, sf_dir):
