@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset a new local one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset a new local one, if the master is local too; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="leafwright-")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="leafwright-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -74,11 +79,12 @@ def per_row(df: DataFrame, keys: list[str], inputs: list[str], make: Callable[[]
 
 
 def hash_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
-    """About n rows (2 n at most), chosen by a hash of the columns: the same for the same rows, however they are partitioned.
+    """About n rows (2 n at most) with different values of ``by``, chosen by a hash: the same for the same rows, however they are partitioned.
 
-    All rows of a table that has no more.  Only what is chosen moves, unlike the first n of every partition.
+    All different rows of a table that has no more.  Copies count once, so a value that fills a third of the table is no
+    likelier than another; only what is chosen moves.
     """
-    total = df.count()
-    if total <= n:
-        return df
-    return df.where(F.xxhash64(*by) <= int((n / total - 0.5) * 2**64)).limit(2 * n)
+    h = F.xxhash64(*by)
+    total = df.agg(F.approx_count_distinct(h).alias("n")).first().n
+    some = df if total <= n else df.where(h <= int((n / total - 0.5) * 2**64))
+    return some.dropDuplicates(by).orderBy(h).limit(2 * n)
