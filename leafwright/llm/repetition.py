@@ -2,8 +2,10 @@
 
 A word is repeated if it stands in a run of ``RUN`` words that occurred before in the same text, or in a line that did.
 Case, punctuation, spacing and numbers don't count.  Which share is too much is decided by cutoffs with controlled risk
-(``cutoffs``): on a labelled holdout the lowest cutoff is chosen for which it is certain, by an exact binomial bound,
-that at most a given part of the texts below the wanted share is rejected, in every stratum (language and length).
+(``certified``): on a labelled holdout the lowest cutoff is chosen for which it is certain, by an exact binomial bound,
+that at most a given part of the texts below the wanted share is rejected, in every stratum (language and length).  The
+holdout labels itself: texts of the corpus, freed of their repetitions, into which repetitions of a known share were put.
+What is certified is the whole rule, ``score`` >= cutoff.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from .prose import ANY_FUNCTION_WORD, _ITEM, _EDGES, is_sentence, language_of, s
 RUN = 6
 #: The share that makes a case, the part of the others that may be rejected, the probability that more are.
 SHARE, RISK, ERROR = 0.4, 0.02, 0.05
-#: Texts in the holdout, about; at most twice as many are brought to the driver.
+#: Texts in the holdout, about; at most twice as many are scored, and only their scores come to the driver.
 HOLDOUT = 1200
-GRID = tuple(round(0.30 + 0.01 * i, 2) for i in range(21))
+GRID = tuple(round(0.30 + 0.01 * i, 2) for i in range(41))
 LENGTHS = ("short", "long")
 LONG = 120
 
@@ -41,35 +43,58 @@ def words(text: str) -> list[str]:
 
 def repeated(tokens: list[str], run: int = RUN) -> int:
     """How many of the tokens stand in a run of so many tokens that began before."""
+    return sum(b - a for a, b in _runs(tokens, run))
+
+
+def _runs(tokens: list[str], run: int) -> list[tuple[int, int]]:
+    """The stretches of such tokens, begin and end."""
     seen: set[tuple] = set()
-    add, covered, last = seen.add, 0, -1
+    add = seen.add
+    out: list[tuple[int, int]] = []
     for i, gram in enumerate(zip(*(tokens[j:] for j in range(run)))):
         if gram in seen:
-            covered += run if i > last else i + run - 1 - last
-            last = i + run - 1
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], i + run)
+            else:
+                out.append((i, i + run))
         else:
             add(gram)
+    return out
+
+
+def _lines(text: str) -> list[tuple[int, int]]:
+    """The stretches of words in lines of two to RUN - 1 words that came before; labels and numbers aside, a line says something if it has a function word or ends like a sentence."""
+    out: list[tuple[int, int]] = []
+    seen: set[tuple] = set()
+    at = 0
+    for line in text.split("\n"):
+        key = tuple(words(line))
+        n = len(key)
+        if 1 < n < RUN and any(w.isalpha() for w in key):
+            if key not in seen:
+                seen.add(key)
+            elif line.rstrip().endswith((".", "!", "?", "…")) or any(w in ANY_FUNCTION_WORD for w in key):
+                out.append((at, at + n))
+        at += n
+    return out
+
+
+def _united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> int:
+    covered, end = 0, 0
+    for x, y in sorted(a + b):
+        covered += max(0, y - max(x, end))
+        end = max(end, y)
     return covered
 
 
 def repeated_share(text: str | None) -> tuple[float, int]:
-    """Repeated share and number of words; (0.0, 0) for no words.  Lines of two to RUN - 1 words count if the whole line came before."""
+    """Repeated share and number of words; (0.0, 0) for no words.  Words in runs and in lines of two to RUN - 1 words that came before, each once."""
     tokens = words(text or "")
     n = len(tokens)
     if n < 4:
         return 0.0, n
-    covered = repeated(tokens)
-    if covered < SHARE * n and "\n" in text:
-        lines: dict[tuple, int] = {}
-        more = 0
-        for line in text.split("\n"):
-            if len(line) < 100 and 1 < len(line.split()) < RUN:
-                key = tuple(words(line))
-                if len(key) > 1 and any(w.isalpha() for w in key):
-                    more += len(key) * (lines.setdefault(key, 0) > 0)
-                    lines[key] += 1
-        covered = max(covered, more)
-    return covered / n, n
+    runs = _runs(tokens, RUN)
+    return _united(runs, _lines(text) if "\n" in text else []) / n, n
 
 
 def is_wordy(text: str) -> bool:
@@ -118,7 +143,20 @@ def collapsed(text: str) -> str:
 
 
 def stratum(text: str, n: int) -> str:
-    return f"{language_of(words(text[:4000]))} {LENGTHS[n >= LONG]}"
+    return f"{language_of(words(text))} {LENGTHS[n >= LONG]}"
+
+
+def score(text: str | None, least: float = 0.0) -> tuple[float, float, int]:
+    """What is held against the cutoff, the repeated share and the number of words.
+
+    The score is the repeated share, or that of the text without rows, entries and markup if it is smaller; 0 where what
+    is repeated isn't language.  A share below ``least`` is its own score: it isn't looked at closer.
+    """
+    got, n = repeated_share(text)
+    if got < least or not got:
+        return got, got, n
+    rest, m = repeated_share(without_rows(text))
+    return (min(got, rest / 0.98) if m >= 8 and is_wordy(text) else 0.0), got, n
 
 
 def variant(text: str, share: float, kind: int, rng: random.Random) -> str:
@@ -148,63 +186,72 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
 
 
-def cutoffs(texts: list[str], share: float = SHARE, risk: float = RISK, error: float = ERROR, seed: int = 7) -> dict[str, float]:
-    """The lowest certified cutoff of each stratum.
+def holdout(text: str, share: float = SHARE) -> list[tuple[str, float]]:
+    """Stratum and score of rows that are no cases: the text as it is without its repetitions, and with some put in that make up less than ``share``.
 
-    Each text, freed of its own repetitions, gives holdout rows with a known label: texts with a repeated share below the
-    wanted one, half of them close to it.  From the highest cutoff down, each is tested for the hypothesis that it rejects
-    more than ``risk`` of them; the tests of a stratum are in fixed order and stop at the first that isn't certain, so they
-    need no correction among each other; those of several strata share the error by Bonferroni's bound.  A stratum whose
-    holdout is too small to certify any cutoff gets the wanted share itself.
+    Two of three rows have repetitions, of any share up to 0.02 below the wanted one.  A text that can't be freed of its own gives none.
     """
-    rng = random.Random(seed)
-    holdout: dict[str, list[float]] = {}
-    for text in texts:
-        clean = collapsed(text)
-        tokens = words(clean)
-        if len(tokens) < 30 or repeated_share(clean)[0] > 0.05:
-            continue
-        for k in range(3):
-            made = variant(clean, 0.0 if k == 0 else rng.uniform(0.05, share - 0.02), rng.randrange(4), rng)
-            got, n = repeated_share(made)
-            holdout.setdefault(stratum(made, n), []).append(got)
-    found = {}
-    for name, scores in sorted(holdout.items()):
-        n = len(scores)
+    clean = collapsed(text)
+    if len(words(clean)) < 30 or repeated_share(clean)[0] > 0.05:
+        return []
+    rng = random.Random(clean)
+    made = [variant(clean, 0.0 if k == 0 else rng.uniform(0.05, share - 0.02), rng.randrange(4), rng) for k in range(3)]
+    return [(stratum(t, n), s) for t in made for s, _, n in (score(t),)]
+
+
+def certified(rows: list[tuple[str, float]], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
+    """The lowest certified cutoff of each stratum, of each length over all languages ("* long"), and of all ("*").
+
+    rows: stratum and score of texts that are no cases.  From the highest cutoff down, each is tested for the hypothesis
+    that it rejects more than ``risk`` of them; the tests of a stratum are in fixed order and stop at the first that isn't
+    certain, so they need no correction among each other; those of several strata share the error by Bonferroni's bound.
+    A stratum whose rows certify no cutoff isn't in the result.
+    """
+    held: dict[str, list[float]] = {}
+    for name, s in rows:
+        for k in (name, f"* {name.split()[-1]}", "*"):
+            held.setdefault(k, []).append(s)
+    found: dict[str, float] = {}
+    for name, scores in sorted(held.items()):
         for cutoff in sorted(GRID, reverse=True):
-            if binomial_tail(n, sum(s >= cutoff for s in scores), risk) > error / len(holdout):
+            if binomial_tail(len(scores), sum(s >= cutoff for s in scores), risk) > error / len(held):
                 break
-            found[name] = min(cutoff, share)
+            found[name] = cutoff
     return found
 
 
+def cutoff_of(name: str, found: dict[str, float]) -> float | None:
+    """The certified cutoff of a stratum, else that of its length, else that of all; None if there is none."""
+    return next((found[k] for k in (name, f"* {name.split()[-1]}", "*") if k in found), None)
+
+
 def repeated_content(df: DataFrame, keys: list[str], text: str, share: float = SHARE, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """keys, n_words, repeated_share, stratum, cutoff, flagged for each row of df.
+    """keys, n_words, repeated_share, stratum, cutoff, certified, flagged for each row of df.
 
     Null, empty and blank texts have no words and the share 0.0.  Texts of any length are read whole.  Equal rows each come
-    out; ties don't arise.  flagged: the share reaches the cutoff of the stratum and its repetitions aren't those of a
-    list, a table or of characters that aren't words.  An empty table gives an empty result.
+    out; ties don't arise.  flagged: the score reaches the cutoff of the stratum, which may lie above or below ``share``; where no cutoff
+    could be certified, not even over all strata (as for tables of a few texts), it is ``share`` and certified is false.  Texts
+    with a share below the lowest cutoff have no stratum.  An empty table gives an empty result.
     """
-    sample = df.select(F.col(text).alias("t")).where("t is not null and length(t) between 300 and 20000")
-    cut = cutoffs(sorted(r.t for r in hash_sample(sample, ["t"], HOLDOUT).collect()), share, risk, error)
+    sample = hash_sample(df.select(F.col(text).alias("t")).where("length(t) >= 300"), ["t"], HOLDOUT)
+
+    def rows_of(t: str) -> tuple:
+        rows = holdout(t, share)
+        return [n for n, _ in rows], [s for _, s in rows]
+
+    scored = per_row(sample, [], ["t"], lambda: rows_of, [("names", "array<string>"), ("scores", "array<double>")])
+    cut = certified(sorted(x for r in scored.collect() for x in zip(r.names, r.scores)), risk, error)
     least = min([*cut.values(), share])
 
     def make():
         def measure(t: str | None) -> tuple:
-            got, n = repeated_share(t)
+            s, got, n = score(t, least)
             if got < least:
-                return n, got, None, None, False
+                return n, got, None, None, None, False
             name = stratum(t, n)
-            cutoff = cut.get(name, share)
-            return n, got, name, cutoff, got >= cutoff and is_case(t, cutoff)
+            cutoff = cutoff_of(name, cut)
+            return n, got, name, share if cutoff is None else cutoff, cutoff is not None, s >= (share if cutoff is None else cutoff)
 
         return measure
 
-    return per_row(df, keys, [text], make, [("n_words", "int"), ("repeated_share", "double"), ("stratum", "string"), ("cutoff", "double"), ("flagged", "boolean")])
-
-
-def is_case(text: str, cutoff: float) -> bool:
-    """What is repeated is language: without rows, entries and markup the repetitions still make up that share."""
-    rest = without_rows(text)
-    tokens = words(rest)
-    return is_wordy(text) and len(tokens) >= 8 and repeated_share(rest)[0] >= cutoff * 0.98 and repeated(tokens) + 1 >= 0.5 * cutoff * len(tokens)
+    return per_row(df, keys, [text], make, [("n_words", "int"), ("repeated_share", "double"), ("stratum", "string"), ("cutoff", "double"), ("certified", "boolean"), ("flagged", "boolean")])

@@ -49,17 +49,51 @@ def test_rows_are_kept(spark):
     assert R.repeated_content(df, ["id"], "t").count() == 3 and R.repeated_content(df.limit(0), ["id"], "t").count() == 0
 
 
-def test_cutoffs_keep_their_promise():
-    rng = random.Random(0)
+def _texts(seed, n):
+    rng = random.Random(seed)
     nouns = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("arn", "eld", "ist", "oom", "ung", "ade")]
-    texts = [" ".join("The {} of the {} has {} it in a {} of this {}.".format(*rng.sample(nouns, 5)) for _ in range(15)) for _ in range(150)]
-    found = R.cutoffs(texts)
-    assert found and all(0.3 <= c <= R.SHARE for c in found.values())
-    fresh = random.Random(99)
-    made = [R.variant(t, fresh.uniform(0.05, R.SHARE - 0.02) if k else 0.0, fresh.randrange(4), fresh) for t in map(R.collapsed, texts) for k in range(3)]
-    wrong = [share >= found.get(R.stratum(m, n), R.SHARE) for m in made for share, n in [R.repeated_share(m)]]
-    assert sum(wrong) <= 0.03 * len(wrong)
-    assert R.cutoffs([]) == {}
+    return [" ".join("The {} of the {} has {} it in a {} of this {}.".format(*rng.sample(nouns, 5)) for _ in range(15)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bias", (0.0, 0.08, 0.12))
+def test_cutoffs_keep_their_promise(bias):
+    rows = [(name, s + bias) for t in _texts(0, 200) for name, s in R.holdout(t)]
+    found = R.certified(rows)
+    assert found and (min(found.values()) > R.SHARE) == (bias > 0.05)  # biased scores raise the cutoff over the wanted share
+    fresh = [(name, s + bias) for t in _texts(99, 400) for name, s in R.holdout(t)]
+    wrong = [s >= R.cutoff_of(name, found) for name, s in fresh]
+    assert len(wrong) > 1000 and sum(wrong) <= R.RISK * len(wrong)
+
+
+def test_what_cannot_be_certified_is_said(spark):
+    assert R.certified([]) == {} and R.cutoff_of("en long", {}) is None
+    assert R.certified([("en long", 1.0)] * 500) == {} and R.certified([("en long", 0.1)] * 20) == {}
+    found = R.certified([("en long", 0.1)] * 400 + [("de long", 0.1)] * 20)
+    assert "de long" not in found and R.cutoff_of("de long", found) == found["* long"] and R.cutoff_of("de short", found) == found["*"]
+    df = spark.createDataFrame([("k", PROSE + " " + PROSE)], "id string, t string")
+    assert [(r.cutoff, r.certified, r.flagged) for r in R.repeated_content(df, ["id"], "t").collect()] == [(R.SHARE, False, True)]
+    many = spark.createDataFrame([(str(i), t) for i, t in enumerate(_texts(5, 300))] + [("k", PROSE + " " + PROSE)], "id string, t string")
+    assert [r.certified for r in R.repeated_content(many, ["id"], "t").where("id = 'k'").collect()] == [True]
+
+
+def test_one_text_a_thousand_times_is_one_row_of_the_holdout(spark):
+    rows = [("copy", PROSE)] * 3000 + [(str(i), t) for i, t in enumerate(_texts(6, 300))]
+    out = R.repeated_content(spark.createDataFrame(rows, "id string, t string"), ["id"], "t")
+    assert out.where("flagged").count() == 0
+
+
+def test_lines_and_runs_are_united():
+    texts = _texts(3, 6)
+    lines = "\n".join(f"and so it {w}.\n{' '.join(t.split()[4:9])}" for t, w in zip(texts, ["goes", "goes", "goes", "runs", "runs", "runs"]))
+    tokens = R.words(lines)
+    assert R.repeated(tokens) == 0 and R.repeated_share(lines)[0] == pytest.approx(16 / len(tokens))
+    both = PROSE + "\n" + lines + "\n" + PROSE
+    assert R.repeated_share(both)[0] == pytest.approx((16 + len(R.words(PROSE))) / len(R.words(both)))
+
+
+def test_the_language_is_that_of_the_whole_text():
+    start = "zzz " * 2000
+    assert R.stratum(start + PROSE, 3000) == "en long"
 
 
 def test_binomial_tail():
