@@ -84,7 +84,7 @@ def test_one_text_a_thousand_times_is_one_row_of_the_holdout(spark):
 
 def test_lines_and_runs_are_united():
     texts = _texts(3, 6)
-    lines = "\n".join(f"and so it {w}.\n{' '.join(t.split()[4:9])}" for t, w in zip(texts, ["goes", "goes", "goes", "runs", "runs", "runs"]))
+    lines = "\n".join(f"and so it {w}.\n{' '.join(t.split()[4:8])}" for t, w in zip(texts, ["goes", "goes", "goes", "runs", "runs", "runs"]))
     tokens = R.words(lines)
     assert R.repeated(tokens) == 0 and R.repeated_share(lines)[0] == pytest.approx(16 / len(tokens))
     both = PROSE + "\n" + lines + "\n" + PROSE
