@@ -137,4 +137,13 @@ def p10_source_rates(spark, sf_dir):
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
+def p10_held_out_sources(spark, sf_dir):
+    """The labelled documents of each source by the cutoff fitted on the other sources."""
+    return abuse.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), "source")
+
+
+def p10_held_out_languages(spark, sf_dir):
+    return abuse.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), "lang")
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
