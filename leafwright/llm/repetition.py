@@ -100,7 +100,7 @@ def repeated_share(text: str | None) -> tuple[float, int]:
 def is_wordy(text: str) -> bool:
     """Whether the text consists of words, not of codes, single letters or broken characters."""
     tokens = set(words(without_markup(text)))
-    good = [t for t in tokens if t.isalpha() and 1 < len(t) < 25]
+    good = [t for t in tokens if t.isalpha() and 1 < len(t) <= 60]
     vowels = sum(any(c in "aeiouyäöüáéíóúàèùâêîôûœ" for c in t) for t in good)
     return bool(tokens) and len(good) >= 0.5 * len(tokens) and vowels >= 0.8 * len(good)
 

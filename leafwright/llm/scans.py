@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,12 @@ _PAIRS = tuple(tuple(p.split(" ")) for p in CONFUSIONS)
 
 #: A word that is read wrong is so many times rarer than the right one; a frequent word occurs at least so often.
 LEAST_RATIO, LEAST_COUNT = 20, 20
-#: Frequent words held by every task; rarer ones are looked up by a join.
+#: Frequent words held by every task; if there are more, each text is joined with the counts of its other words.
 HELD_WORDS = 200_000
+#: Longer strings of letters aren't words of a language.
+LONGEST_WORD = 80
+#: Part of the documents with a running line in which it recurs.
+RUNNING = 0.5
 #: Words and lines in the samples the classifiers are fitted on.
 SAMPLE_WORDS, SAMPLE_LINES = 3000, 6000
 
@@ -63,7 +67,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
                 if w[-1] in _MARKS:
                     continue
                 w = w.strip(_EDGES)
-            if 0 < len(w) < 25 and w[0].isalnum() and sum(c.isalpha() for c in w) >= 0.6 * len(w):
+            if 0 < len(w) <= LONGEST_WORD and w[0].isalnum() and sum(c.isalpha() for c in w) >= 0.6 * len(w):
                 exact[w] += n
         names = list(exact)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([exact[w] for w in names], pa.int64())], names=["word", "n"])
@@ -179,7 +183,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     """word, replacement, probability of the words that are misreadings of a frequent word."""
     frequent = counts.where((F.col("n") >= LEAST_COUNT) & F.col("word").rlike(r"^\p{L}{4,}$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     ranker = word_ranker(most_frequent(frequent.select(F.col("right").alias("word"), F.col("n_right").alias("n")), SAMPLE_WORDS))
-    rare = counts.where(F.length("word").between(4, 24))
+    rare = counts.where(F.length("word") >= 4)
     pairs = (
         rare.select("word", "n", _grams(F.col("word")).alias("gram"))
         .join(frequent.select("right", "n_right", _grams(F.col("right"), 2).alias("gram")), "gram")
@@ -252,13 +256,13 @@ def canonical(line: str) -> str:
     return re.sub(r"[\W_]+", "", re.sub(r"\d+", "", s))
 
 
-def _line_features(line: str, pages: int, doc_pages: int, docs: int, top: int) -> list[float]:
+def _line_features(line: str, top: int) -> list[float]:
+    """What a line looks like; how often it occurs, by which the samples are labelled, isn't among it."""
     tokens = line.split()
     letters = [c for c in line if c.isalpha()]
     words = [t.strip(_EDGES) for t in tokens]
     named = [w for w in words if w[:1].isalpha()]
     return [
-        float(np.log1p(docs)),
         len(tokens),
         len(line),
         sum(c.isupper() for c in letters) / max(1, len(letters)),
@@ -293,34 +297,75 @@ def edge_lines(text: str) -> list[tuple[int, str]]:
 
 
 def furniture(lines: DataFrame, doc: str, page: str) -> DataFrame:
-    """doc, canon of the lines that are running headers or footers.  lines: doc, page, canon, line, top."""
+    """doc, canon of the lines that are running headers or footers.  lines: doc, page, canon, line, top.
+
+    A line recurs in a document if it stands on at least two of its pages and a quarter of them.  Running lines recur in
+    most documents they occur in, be it one or all of a journal; headings that many documents have recur in few.  All
+    statistics are shares, so they don't depend on how many documents there are.  Whether a line that recurs looks like
+    a running line, and one on a page of a short document, is up to the classifier.
+    """
     by_line = lines.groupBy(doc, "canon", page).agg(F.max(F.struct("line", "top")).alias("x")).groupBy(doc, "canon").agg(F.count("*").alias("pages"), F.max("x").alias("x"))
-    docs = by_line.groupBy("canon").agg(F.count("*").alias("docs"))
     doc_pages = lines.groupBy(doc, page).agg(F.lit(1).alias("one")).groupBy(doc).agg(F.count("*").alias("doc_pages"))
-    seen = checkpoint(by_line.join(docs, "canon").join(doc_pages, doc).select(doc, "canon", "pages", "docs", "doc_pages", F.col("x.line").alias("line"), F.col("x.top").alias("top")))
-    few = F.col("docs") <= 2
-    header = few & (F.col("pages") >= 3) & (F.col("pages") >= 0.25 * F.col("doc_pages"))
-    plain = (~few & (F.col("docs") >= 5)) | ((F.col("pages") == 1) & (F.col("doc_pages") >= 5))
-    sample = lambda c: sorted(hash_sample(seen.where(c), [doc, "canon"], SAMPLE_LINES // 2).collect(), key=lambda r: (r[0], r.canon))
+    each = checkpoint(by_line.join(doc_pages, doc).withColumn("recurs", (F.col("pages") >= 2) & (F.col("pages") >= 0.25 * F.col("doc_pages"))))
+    wide = each.groupBy("canon").agg(F.count("*").alias("docs"), F.count_if("recurs").alias("recurring"))
+    seen = checkpoint(each.join(wide, "canon").select(doc, "canon", "pages", "doc_pages", "recurs", "docs", (F.col("recurring") / F.col("docs")).alias("share"), F.col("x.line").alias("line"), F.col("x.top").alias("top")))
+    running = F.col("recurs") & (F.col("share") >= RUNNING)
+    header = running & (F.col("pages") >= 3)
+    plain = ((F.col("docs") >= 5) & (F.col("share") < RUNNING / 5)) | ((F.col("pages") == 1) & (F.col("doc_pages") >= 5))
+    sample = lambda c: sorted(hash_sample(seen.where(c).select(doc, "canon", "line", "top"), [doc, "canon"], SAMPLE_LINES // 2).collect(), key=lambda r: (r[0], r.canon))
     labelled = [(r, 1) for r in sample(header)] + [(r, 0) for r in sample(plain)]
-    x = np.array([_line_features(r.line, r.pages, r.doc_pages, r.docs, r.top) for r, _ in labelled], float).reshape(-1, 12)
+    x = np.array([_line_features(r.line, r.top) for r, _ in labelled], float).reshape(-1, 11)
     model = Boosted().fit(x, np.array([y for _, y in labelled], float))
 
-    def judge(line: str, pages: int, n: int, docs: int, top: int) -> tuple | None:
-        if docs <= 2 and pages >= 2 and pages >= 0.25 * n:
-            limit = 0.1  # seen on several pages of the document and nowhere else
+    def judge(line: str, pages: int, n: int, recurs: bool, share: float, top: int) -> tuple | None:
+        if recurs and share >= RUNNING:
+            limit = 0.1
         elif pages >= 0.25 * n and n <= 4:
             limit = 0.5
         else:
             return None
-        return () if model.probability_of(_line_features(line, pages, n, docs, top)) >= limit else None
+        return () if model.probability_of(_line_features(line, top)) >= limit else None
 
-    return per_row(seen, [doc, "canon"], ["line", "pages", "doc_pages", "docs", "top"], lambda: judge, [])
+    return per_row(seen, [doc, "canon"], ["line", "pages", "doc_pages", "recurs", "share", "top"], lambda: judge, [])
 
 
 # --- texts
 
 
+def with_own_counts(texts: DataFrame, keys: list[str], text: str, words: DataFrame, held: dict[str, int]) -> DataFrame:
+    """keys, text, _words, _counts: each text with the counts of those of its words, and of its parts of words put together, that aren't held.
+
+    What comes together for a text is bounded by its own words; texts meet theirs by a hash.
+    """
+    coded = texts.select(*keys, text, F.xxhash64(text).alias("_code"))
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def make():
+        known = shared.value
+
+        def forms(t: str | None) -> tuple | None:
+            if not t:
+                return None
+            found, before = set(), ""
+            for w in t.lower().split():
+                w = w if w.isalpha() else w.strip(_EDGES)
+                if w in known or not w:
+                    before = ""
+                    continue
+                found.update((w, before + w))
+                before = w
+            for a, _, b in broken_words(t):
+                a, b = a.lower(), b.lower()
+                found.update(x for x in (a, b, a + b) if x not in known)
+            return (sorted(found),) if found else None
+
+        return forms
+
+    each = per_row(coded, ["_code"], [text], make, [("forms", "array<string>")]).select("_code", F.explode("forms").alias("word")).distinct()
+    own = each.join(words.select("word", "n"), "word").groupBy("_code").agg(F.sort_array(F.collect_set(F.struct("word", "n"))).alias("w"))
+    return coded.join(own, "_code", "left").select(*keys, text, F.col("w.word").alias("_words"), F.col("w.n").alias("_counts"))
+
+
 def scan_noise(texts: DataFrame, keys: list[str], text: str, doc: str = "doc_id", page: str = "page_num") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Four tables from one pass over the texts: (1) keys, broken, misread, header, page_number for each text with noise,
     true for the kinds it has; (2) keys, word, replacement of the misread words; (3) keys, canon of the running headers;
@@ -332,27 +377,31 @@ def scan_noise(texts: DataFrame, keys: list[str], text: str, doc: str = "doc_id"
     spark, texts = texts.sparkSession, texts.dropna(subset=keys)
     counts = checkpoint(word_counts(texts, text))
     fixes = checkpoint(corrections(counts))
-    held = dict(most_frequent(counts.join(fixes.select("word"), "word", "left_anti").where(F.col("n") >= LEAST_COUNT), HELD_WORDS))
+    words = counts.join(fixes.select("word"), "word", "left_anti").where(F.col("n") >= LEAST_COUNT)
+    held = dict(most_frequent(words, HELD_WORDS))
+    inputs = [text]
+    if words.count() > len(held):
+        words = checkpoint(words)
+        texts, inputs = with_own_counts(texts, keys, text, words, held), [text, "_words", "_counts"]
     breaks = break_classifier(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS])
     shared = spark.sparkContext.broadcast(held)
 
     def make():
-        known, model = shared.value, breaks
+        every, model = shared.value, breaks
 
-        def is_broken(left: str, mark: str, right: str) -> bool:
-            if mark in "¬\xad":
-                return True
+        def is_broken(left: str, mark: str, right: str, known) -> bool:
             return model.probability_of(_break_features(left.lower(), mark, right.lower(), known)) >= 0.5
 
-        def inspect(t: str | None) -> tuple | None:
+        def inspect(t: str | None, own: list | None = None, own_counts: list | None = None) -> tuple | None:
             if not t or not t.strip():
                 return None
+            known = ChainMap(dict(zip(own, own_counts)), every) if own else every
             lines = [x for x in t.split("\n") if x.strip()]
             number = is_page_number(lines[0]) or is_page_number(lines[-1]) or len(lines) > 1 and (is_page_number(lines[1]) and len(lines[0]) < 75 or is_page_number(lines[-2]) and len(lines[-1]) < 75) or any(len(x) < 20 and _STRONG_NUMBER.match(x) for x in lines)
             edges = edge_lines(t)
             joins: list[str] = []
             if "\n" in t and any(m in t for m in _MARKS):
-                joins = [f"{a}\n{b}" for a, m, b in broken_words(t) if is_broken(a, m, b)]
+                joins = [f"{a}\n{b}" for a, m, b in broken_words(t) if is_broken(a, m, b, known)]
             broken, odd, before = bool(joins), [], ""
             for w in t.lower().split():
                 if w in known:
@@ -376,7 +425,7 @@ def scan_noise(texts: DataFrame, keys: list[str], text: str, doc: str = "doc_id"
         return inspect
 
     fields = [("page_number", "boolean"), ("broken", "boolean"), ("split", "boolean"), ("joins", "array<string>"), ("odd", "array<string>"), ("lines", "array<string>"), ("canons", "array<string>"), ("tops", "array<int>")]
-    seen = checkpoint(per_row(texts, keys, [text], make, fields).dropDuplicates(keys))
+    seen = checkpoint(per_row(texts, keys, inputs, make, fields).dropDuplicates(keys))
     misread = seen.select(*keys, F.explode("odd").alias("word")).join(fixes, "word").select(*keys, "word", "replacement")
     lines = seen.select(*keys, F.explode(F.arrays_zip("lines", "canons", "tops")).alias("l")).select(*keys, F.col("l.lines").alias("line"), F.col("l.canons").alias("canon"), F.col("l.tops").alias("top")).where("canon <> ''")
     lines = checkpoint(lines)

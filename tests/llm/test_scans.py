@@ -84,3 +84,60 @@ def test_errors_inside_short_words(spark):
     rows = [("".join(rng.sample(syllables, 3)), rng.randint(2000, 5000)) for _ in range(300)] + [(w, 2000) for w in read.values()] + [(w, 2) for w in read]
     counts = spark.createDataFrame(rows, "word string, n long").groupBy("word").agg({"n": "max"}).toDF("word", "n")
     assert {r.word: r.replacement for r in S.corrections(counts).collect()} == read
+
+
+def planted(rng, text):
+    """The text as a scanner would give it: a header, a number, lines broken at 50 characters, words broken or misread; and the words it had."""
+    words, out, line = text.split(), [], ""
+    for w in words:
+        if rng.random() < 0.06 and w.isalpha() and len(w) > 5:
+            w = S._misread(w, rng, 1)
+        if len(line) + len(w) > 50:
+            if rng.random() < 0.4 and w.isalpha() and len(w) > 5:
+                at = rng.randint(3, len(w) - 3)
+                out.append(line + " " + w[:at] + rng.choice("-¬"))
+                line = w[at:]
+                continue
+            out.append(line)
+            line = w
+        else:
+            line = (line + " " + w).strip()
+    return "\n".join([*out, line]), words
+
+
+def test_repair_of_planted_noise(spark):
+    rng = random.Random(21)
+    rows, truth = corpus(), {}
+    for d in range(8):
+        head = f"Proceedings of the {WORDS[d].title()} Meeting {WORDS[d + 5].title()}"
+        for p in range(1, 8):
+            noisy, words = planted(rng, page(rng, 90))
+            truth[f"p{d}", p] = words
+            rows.append((f"p{d}", p, f"{head}\n{noisy}\n\n- {p} -"))
+    df = spark.createDataFrame(rows, "doc_id string, page_num int, t string")
+    out = {(r.doc_id, r.page_num): r.repaired_text.split() for r in S.repaired_texts(df, ["doc_id", "page_num"], "t").collect()}
+    right = sum(sum(a == b for a, b in zip(out[k], w)) for k, w in truth.items() if len(out[k]) == len(w))
+    assert right >= 0.97 * sum(map(len, truth.values()))
+
+
+def test_words_beyond_those_held(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = corpus() + [("b", 1, page(rng) + " The com-\nmittee of the well-\nworn har-\nbour was noted."), ("s", 1, page(rng) + " The har bour of the com mittee was noted."), ("m", 1, page(rng) + " The harb0ur of it.")]
+    df = spark.createDataFrame(rows, "doc_id string, page_num int, t string")
+    whole = [sorted(map(str, x.collect())) for x in S.scan_noise(df, ["doc_id", "page_num"], "t")]
+    calls = []
+    plain = S.most_frequent
+    monkeypatch.setattr(S, "HELD_WORDS", 3)
+    monkeypatch.setattr(S, "break_classifier", lambda words, f=S.break_classifier, n=sorted: calls.append(len(words)) or f(MOST))
+    MOST = sorted(((r.word, r.n) for r in S.word_counts(df, "t").where("n >= 20").collect()), key=lambda x: (-x[1], x[0]))
+    assert len(plain(S.word_counts(df, "t"), 3)) <= 3
+    assert [sorted(map(str, x.collect())) for x in S.scan_noise(df, ["doc_id", "page_num"], "t")] == whole and calls[0] <= 3
+
+
+def test_a_journal_on_every_page_of_many_documents(spark):
+    rng = random.Random(12)
+    rows = [(f"d{d}", p, ("Journal of Harbour Studies\n" if p > 1 else "") + ("Introduction\n\n" if p == 1 else "Conclusion\n\n" if p == 7 else "") + page(rng)) for d in range(12) for p in range(1, 8)]
+    rows += [(d + "x", p, t) for d, p, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id string, page_num int, t string")
+    out = {(r.doc_id, r.page_num) for r in S.scan_noise(df, ["doc_id", "page_num"], "t")[0].where("header").collect()}
+    assert {(f"d{d}", p) for d in range(12) for p in range(2, 8)} == {k for k in out if not k[0].endswith("x")}
