@@ -13,14 +13,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import checkpoint, per_row
 from .prose import _EDGES, _ITEM, ANY_FUNCTION_WORD, is_page_number, prose_share, without_markup, words_of
 
-#: Characters of the ends that are looked at for joins with other pages and readings.
+#: Characters of the ends that are looked at first; where they don't decide, more are.
 EDGE = 400
+#: A capital letter at the top of a page begins no sentence if its word stands within sentences so many times as often as at their beginnings.
+WITHIN = 4
+#: Longer strings go by their hash.
+LONG_WORD = 40
 ENCODINGS = ("chars", "utf8", "crlf", "json", "html")
 #: A limit: at least so many unfinished texts, and so many times the mean of the lengths around it.
 LEAST_AT_LIMIT, OVER_NEIGHBOURS, NEIGHBOURS = 6, 8.0, 12
@@ -106,48 +111,82 @@ def words_of_case(line: str) -> list[str]:
     return [w for w in (t.strip(_EDGES) for t in line.split()) if w[:1].isalpha()]
 
 
-def goes_on(head: str) -> bool:
-    """Whether a page begins inside a sentence; a page number or a header line above doesn't matter."""
-    for line in without_markup(head).split("\n"):
-        line = line.strip()
-        if line and not is_page_number(line):
-            if line[0].islower():
-                return True
-            if line[0].isdigit() and _NUMBER_GOES_ON.match(line) and len(line) > 45 and "...." not in line:
-                return True
-            if not _heads(line):
-                return False
-    return False
-
-
-def end_words(tail: str) -> str:
-    """The last three words of the prose, to compare readings of a page."""
-    return " ".join([w for w in words_of(without_markup(last_prose(tail))) if w][-3:])
+def goes_on(text: str) -> tuple[bool, str | None]:
+    """Whether a page begins inside a sentence, and if that is open the capitalised word it begins with; a page number or header lines above don't matter."""
+    size = EDGE
+    while True:
+        body = without_markup(text[:size])
+        lines = body.split("\n")
+        if size < len(text):
+            lines.pop()  # it may go on
+        for line in lines:
+            line = line.strip()
+            if line and not is_page_number(line):
+                if line[0].islower():
+                    return True, None
+                if line[0].isdigit() and _NUMBER_GOES_ON.match(line) and len(line) > 45 and "...." not in line:
+                    return True, None
+                if not _heads(line):
+                    first = line.split(None, 1)[0].strip(_EDGES)
+                    return False, first if first.istitle() and len(line.split()) > 3 else None
+        if size >= len(text):
+            return False, None
+        size *= 4
+
+
+def named(word: str) -> str:
+    """The word, or the hash of a long one."""
+    return word if len(word) < LONG_WORD else xxhash.xxh3_64_hexdigest(word)
+
+
+def end_words(text: str) -> list[str]:
+    """What readings of a page that end at the same place have in common: their last three words, and the three before the last, which may be misread, with its first letter."""
+    size = EDGE
+    while True:
+        found = [w for w in words_of(without_markup(last_prose(text[-size:]))) if w]
+        if len(found) > 3 or size >= len(text):
+            break
+        size *= 4
+    last = found[-4:]
+    return [" ".join(last[-3:]), " ".join([*last[:-1], last[-1][0], "…"])] if len(last) == 4 else [" ".join(last)]
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """word, inside: how often each word stands in the texts, at their ends and before a hyphen aside; at_end: how often as a text's last."""
+    """word, inside, at_end, begins, within: how often each word stands in the texts, at their ends and before a hyphen aside; how often as a text's last; how often with a capital at the beginning of a sentence or paragraph, and within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, ends = Counter(), Counter()
+        inside, ends, begins, within = Counter(), Counter(), Counter(), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                tokens = t.lower().split()
-                if tokens:
-                    ends[tokens.pop().strip(_EDGES)] += 1
-                    inside.update(tokens)
+                tokens = t.split()
+                if not tokens:
+                    continue
+                ends[tokens.pop().strip(_EDGES).lower()] += 1
+                inside.update(tokens)
+                for block in _PARAGRAPH.split(t):
+                    open_ = True
+                    for w in block.split():
+                        if w[0].isupper() and w[1:].islower() and w.isalpha():
+                            (begins if open_ else within)[w.lower()] += 1
+                        open_ = w[-1] in ".!?:…"
         exact: Counter = Counter()
         for w, n in inside.items():
+            w = w.lower()
             if w.isalpha():
                 exact[w] += n
             elif w[-1] not in "-¬\xad‐":
                 exact[w.strip(_EDGES)] += n
-        names = [w for w in exact.keys() | ends.keys() if 0 < len(w) < 40]
+        names = [w for w in exact.keys() | ends.keys() | begins.keys() | within.keys() if w]
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([exact[w] for w in part], pa.int64()), pa.array([ends[w] for w in part], pa.int64())], names=["word", "inside", "at_end"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(named, part))), *[pa.array([c[w] for w in part], pa.int64()) for c in (exact, ends, begins, within)]], names=["word", *_COUNTS])
+
+    counted = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
-    return df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, inside bigint, at_end bigint").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("at_end").alias("at_end"))
+
+_COUNTS = ("inside", "at_end", "begins", "within")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
 def storage_limits(unfinished: DataFrame, source: str) -> DataFrame:
@@ -157,15 +196,24 @@ def storage_limits(unfinished: DataFrame, source: str) -> DataFrame:
     return (
         at.where(F.col("n") >= LEAST_AT_LIMIT)
         .join(around, [source, "encoding", "length"])
-        .where(F.col("n") >= OVER_NEIGHBOURS * (F.col("near") - F.col("n")) / (2 * NEIGHBOURS))
+        .withColumn("mean", (F.col("near") - F.col("n")) / (2 * NEIGHBOURS))
+        # far over what is near, and more than chance gives one of so many lengths
+        .where((F.col("n") >= OVER_NEIGHBOURS * F.col("mean")) & (F.col("n") >= F.col("mean") + 6 * F.sqrt("mean") + LEAST_AT_LIMIT))
         .select(source, "encoding", "length", "n")
     )
 
 
+def _limit_of(found: DataFrame, keys: list[str], limits: DataFrame) -> DataFrame:
+    each = found.select(*keys, "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, ENCODINGS)), F.array(*ENCODINGS))).alias("encoding", "length"))
+    first = -F.expr(f"array_position(array({','.join(repr(e) for e in ENCODINGS)}), encoding)")
+    hit = each.join(limits, ["source", "encoding", "length"]).groupBy(*keys, "source").agg(F.max(F.struct("n", first.alias("first"), "encoding", "length")).alias("hit"))
+    return hit.select(*keys, "source", "hit.encoding", "hit.length")
+
+
 def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_num", seq: str = "attempt_seq", source: str = "engine", text: str = "text", layers: DataFrame | None = None, layer_text: str = "native_text") -> DataFrame:
     """doc, page, seq, source, reason, limit_encoding, limit_length for each cut text; sources are compared in lower case.
 
-    layers (doc, page, layer_text): other texts of the pages, at whose tops a sentence may go on.
+    layers (doc, page, layer_text): other texts of the pages, at whose tops a sentence may go on and which may end alike.
 
     Rows that occur twice come out once; rows with a null in doc, page or seq are left out.  Null, empty and blank texts are never cut; text that isn't prose (lists, tables,
     broken characters) isn't either.  A null source is a source of its own.  Readings of one page that end alike are taken
@@ -179,36 +227,44 @@ def truncated_texts(attempts: DataFrame, doc: str = "doc_id", page: str = "page_
     def make():
         def inspect(t: str) -> tuple | None:
             found = ending(t)
-            return found and (*found, end_words(t[-EDGE:]), len(without_markup(t).split()), *lengths(t))
+            if not found:
+                return None
+            mark, last, heading = found
+            return mark, named(last), heading, end_words(t), len(without_markup(t).split()), *lengths(t)
 
         return inspect
 
-    found = per_row(open_ended, [*keys, "source"], ["body"], make, [("mark", "boolean"), ("last_word", "string"), ("heading", "boolean"), ("end_words", "string"), ("size", "int"), *((e, "int") for e in ENCODINGS)])
+    found = per_row(open_ended, [*keys, "source"], ["body"], make, [("mark", "boolean"), ("last_word", "string"), ("heading", "boolean"), ("end_words", "array<string>"), ("size", "int"), *((e, "int") for e in ENCODINGS)])
     found = checkpoint(found.dropDuplicates(keys))
-    limits = storage_limits(found, "source").groupBy("source", "encoding", "length").agg(F.max("n").alias("n"))
-    # The limit of a text: of the limits its lengths are equal to, the one that most texts share.
-    hit = (
-        found.select(*keys, "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, ENCODINGS)), F.array(*ENCODINGS))).alias("encoding", "length"))
-        .join(limits, ["source", "encoding", "length"])
-        .groupBy(*keys)
-        .agg(F.max(F.struct("n", (-F.expr(f"array_position(array({','.join(repr(e) for e in ENCODINGS)}), encoding)")).alias("first"), "encoding", "length")).alias("hit"))
-        .select(*keys, F.col("hit.encoding").alias("limit_encoding"), F.col("hit.length").alias("limit_length"))
-    )
-    ends = per_row(rows, keys, ["body"], lambda: lambda t: (goes_on(t[:EDGE]), end_words(t[-EDGE:]), len(without_markup(t).split())), [("goes_on", "boolean"), ("end_words", "string"), ("size", "int")])
-    ends = checkpoint(ends.dropDuplicates(keys))
-    heads = ends.select(doc, page, "goes_on")
+    # The limit of a text: of the limits its lengths are equal to, the one that most texts share.  Texts cut by one limit
+    # heap up at lengths under other encodings too; these are no limits: most of their texts have another one.
+    limits = storage_limits(found, "source")
+    own = _limit_of(found, keys, limits).groupBy("source", "encoding", "length").agg(F.count("*").alias("own"))
+    limits = limits.join(own, ["source", "encoding", "length"]).where("own >= 0.5 * n").drop("own")
+    hit = _limit_of(found, keys, checkpoint(limits)).select(*keys, F.col("encoding").alias("limit_encoding"), F.col("length").alias("limit_length"))
+    # Other texts of a page count as readings of it.
+    edges = lambda t: (*goes_on(t), end_words(t), len(without_markup(t).split()))
+    fields = [("goes_on", "boolean"), ("first", "string"), ("end_words", "array<string>"), ("size", "int")]
+    ends = per_row(rows, keys, ["body"], lambda: edges, fields).dropDuplicates(keys)
     if layers is not None:
-        tops = layers.dropna(subset=[doc, page]).where(F.trim(layer_text) != "").select(doc, page, F.substring(layer_text, 1, EDGE).alias("head"))
-        heads = heads.unionByName(per_row(tops, [doc, page], ["head"], lambda: lambda h: (goes_on(h),), [("goes_on", "boolean")]))
+        others = layers.dropna(subset=[doc, page]).where(F.trim(layer_text) != "").select(doc, page, layer_text)
+        ends = ends.unionByName(per_row(others, [doc, page], [layer_text], lambda: edges, fields).dropDuplicates([doc, page]), allowMissingColumns=True)
+    ends = checkpoint(ends)
+    counts = word_counts(rows, "body")
+    wanted = found.select(F.col("last_word").alias("word")).unionByName(ends.where("first is not null").select(F.lower("first").alias("word"))).distinct()
+    known = checkpoint(counts.join(wanted, "word", "left_semi"))
+    going = known.where(F.col("within") >= WITHIN * F.greatest("begins", F.lit(1))).select(F.col("word").alias("first"), F.lit(True).alias("within_sentences"))
+    heads = ends.select(doc, page, "goes_on", F.lower("first").alias("first")).join(going, "first", "left").select(doc, page, (F.col("goes_on") | F.coalesce("within_sentences", F.lit(False))).alias("goes_on"))
     following = heads.groupBy(doc, (F.col(page) - 1).alias(page)).agg(F.max("goes_on").alias("goes_on"))
-    alike = ends.groupBy(doc, page, "end_words").agg(F.count("*").alias("alike"))
+    each_end = ends.select(doc, page, F.explode("end_words").alias("end"))
+    alike = each_end.groupBy(doc, page, "end").agg(F.count("*").alias("alike")).where("alike > 1")
+    alike = found.select(*keys, F.explode("end_words").alias("end")).join(alike, [doc, page, "end"]).groupBy(*keys).agg(F.max("alike").alias("alike"))
     longest = ends.groupBy(doc, page).agg(F.max("size").alias("longest"))
-    known = word_counts(rows, "body").join(found.select(F.col("last_word").alias("word")).distinct(), "word", "left_semi")
     whole = known.where(F.col("inside") > 10 * F.col("at_end")).select(F.col("word").alias("last_word"), F.lit(True).alias("whole_word"))
     judged = (
         found.join(hit, keys, "left")
         .join(following, [doc, page], "left")
-        .join(alike, [doc, page, "end_words"], "left")
+        .join(alike, keys, "left")
         .join(longest, [doc, page], "left")
         .join(whole, "last_word", "left")
     )

@@ -51,9 +51,38 @@ def test_lengths():
 
 @pytest.mark.parametrize(("head", "on"), [("of the harbour. It", True), ("Page 3\nof the harbour", True), ("A HEADER\nof the harbour", True), ("34 percent of the members who had been asked agreed", True), ("3 Methods\n\nThe", False), ("The harbour", False), ("", False)])
 def test_goes_on(head, on):
-    assert T.goes_on(head) == on
+    assert T.goes_on(head)[0] == on
 
 
 @pytest.mark.parametrize("tail", ["<ul><li>a b</li></ul>", "\n\n$$x$$", "\n```\ncode\n```", "\n\n![f](a.png)", "~\\cite{a1}", "\n\n| a | b |\n|---|---|\n| c | 1 |", "</p></div>"])
 def test_markup_at_the_end_is_no_ending(tail):
     assert T.ending(BODY + "It was agreed." + tail) is None and T.ending(BODY + "It was agreed that the" + tail)[1] == "the"
+
+
+def test_long_heads_and_long_words(spark):
+    header = "\n".join(f"Annals of the Harbour Society {'X' * i}" for i in range(1, 40))
+    assert T.goes_on(header + "\nof the harbour. It")[0] and len(header) > 3 * T.EDGE
+    url = "https://harbour.example/" + "a" * 90
+    rows = filler(10) + [("u", i, 1, "x", BODY + f"See also {url} for the spring.") for i in range(30, 60)] + [("u", 1, 1, "x", BODY + f"It is to be found at {url}"), ("u", 2, 1, "x", f"and at the bank. {BODY}")]
+    assert ("u", 1, 1) not in found(spark, rows)
+
+
+def test_capitals_within_sentences(spark):
+    german = "Der Ausschuss sprach lange über die brauchbare Methode der Häfen. Die Mitglieder fanden die Methode gut und lobten die Methode sehr. "
+    rows = [("z", i, 1, "y", german * 3) for i in range(20)] + [("g", 1, 1, "x", german + "Der Ausschuss nannte die brauchbare"), ("g", 2, 1, "x", "Methode nach einer kurzen Pause. " + german), ("h", 1, 1, "x", german + "Der Ausschuss nannte die"), ("h", 2, 1, "x", "Die Mitglieder fanden die Methode gut. " + german)]
+    assert {k: r.reason for k, r in found(spark, rows).items()} == {("h", 1, 1): "sentence"}
+
+
+def test_layers_that_end_alike(spark):
+    rows = filler(20) + [("a", 1, 1, "x", BODY + "Nobody spoke about the cranes of the harbour in the spring"), ("b", 1, 1, "x", BODY + "Nobody spoke about the cranes of the harb0ur"), ("c", 1, 1, "x", BODY + "Nobody spoke about the cranes")]
+    attempts = spark.createDataFrame([(d, p, s, e, t, "clash") for d, p, s, e, t in rows], S)
+    layers = spark.createDataFrame([("a", 1, "A long header of the harbour society\n" + BODY + "Nobody spoke about the cranes of the harbour in the spring"), ("b", 1, BODY + "Nobody spoke about the cranes of the harbour"), ("c", 1, BODY + "Nobody spoke about the cranes of the harbour in the spring."), ("d", 1, None), (None, 1, "x")], "doc_id string, page_num int, native_text string")
+    out = {(r.doc_id, r.page_num): r.reason for r in T.truncated_texts(attempts, layers=layers).collect()}
+    assert out == {("c", 1): "longer reading"}
+
+
+@pytest.mark.parametrize("edge", (20, 400))
+def test_the_first_look_decides_nothing(spark, monkeypatch, edge):
+    monkeypatch.setattr(T, "EDGE", edge)
+    rows = filler(20) + [("b", 1, 1, "x", BODY + "Nobody spoke against the harbour of the"), ("b", 2, 1, "x", "THE ANNALS OF THE HARBOUR SOCIETY\n\ncommittee and the bank. " + BODY), ("d", 1, 1, "x", BODY + "It was agreed that"), ("d", 1, 2, "y", BODY + "It was agreed that a loan should be sought from the bank in the spring.")]
+    assert {k: r.reason for k, r in found(spark, rows).items()} == {("d", 1, 1): "longer reading"}
