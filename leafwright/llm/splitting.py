@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..common import per_row
 
-#: Items of more units are first cut into blocks of so many: what one task holds of an item is bounded by it.
+#: Items of more units are first cut into blocks of at most so many, each at the strongest boundary of its last quarter:
+#: what one task holds of an item is bounded by it.
 BLOCK = 50_000
 
 
@@ -65,18 +66,27 @@ def split_documents(documents: DataFrame, outline: DataFrame) -> DataFrame:
     depth (null: deepest).  Repeated rows count once, pages outside the document and null pages not at all, the title is
     of no matter.  Documents that occur twice come out once; an empty table gives an empty result.
     """
-    block = F.floor((F.col("page_num") - 1) / BLOCK).cast("int").alias("block")
+    block = F.floor((F.col("page_num") - 1) / BLOCK).cast("int")
     documents = documents.dropDuplicates(["doc_id"])
     marks = outline.where("page_num > 1").groupBy("doc_id", "page_num").agg(F.min(F.coalesce("depth", F.lit(99))).alias("depth"))
-    # At most BLOCK pages of a document come together here.
-    marks = marks.join(documents.select("doc_id", "n_pages"), "doc_id").where("page_num <= n_pages").groupBy("doc_id", block).agg(F.collect_list("page_num").alias("at"), F.collect_list("depth").alias("depths"))
-    blocks = documents.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_pages") - 1) / BLOCK).cast("int")))).join(marks, ["doc_id", "block"], "left")
-
-    def cut(n: int, b: int, limit: int, overlap: int, at: list | None, depths: list | None) -> tuple:
+    marks = marks.join(documents.select("doc_id", "n_pages"), "doc_id").where("page_num <= n_pages").withColumn("block", block)
+    # Where the block after this one begins: a strong boundary in the last quarter, the last of equals, else its end.
+    late = marks.where(F.col("page_num") > (F.col("block") + 0.75) * BLOCK)
+    strong = late.groupBy("doc_id", "block").agg(F.min_by("page_num", F.struct("depth", (-F.col("page_num")).alias("last"))).alias("next"))
+    blocks = documents.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_pages") - 1) / BLOCK).cast("int")))).join(strong, ["doc_id", "block"], "left")
+    blocks = blocks.withColumn("next", F.least(F.when(F.col("n_pages") > (F.col("block") + 1) * BLOCK, F.coalesce("next", (F.col("block") + 1) * BLOCK + 1)).otherwise(F.col("n_pages") + 1), F.col("n_pages") + 1))
+    before = blocks.select("doc_id", (F.col("block") + 1).alias("block"), F.col("next").alias("first"))
+    blocks = blocks.join(before, ["doc_id", "block"], "left").withColumn("first", F.coalesce("first", F.lit(1)))
+    # At most one and a quarter BLOCK pages of a document come together here.
+    own = marks.join(blocks.select("doc_id", "block", "next"), ["doc_id", "block"]).withColumn("block", F.col("block") + (F.col("page_num") >= F.col("next")).cast("int"))
+    own = own.groupBy("doc_id", "block").agg(F.collect_list("page_num").alias("at"), F.collect_list("depth").alias("depths"))
+    blocks = blocks.join(own, ["doc_id", "block"], "left").withColumn("last", F.col("next") - 1)
+
+    def cut(first: int, last: int, limit: int, overlap: int, at: list | None, depths: list | None) -> tuple:
         strengths = {p: max(1, 100 - d) for p, d in zip(at or [], depths or [])}
-        found = pieces(min(n, (b + 1) * BLOCK), limit, overlap, strengths, b * BLOCK + 1)
+        found = pieces(last, limit, overlap, strengths, first)
         return [p for p, _ in found], [p for _, p in found]
 
-    cuts = per_row(blocks.withColumnRenamed("block", "part"), ["doc_id", "part"], ["n_pages", "part", "chunk_size", "chunk_overlap", "at", "depths"], lambda: cut, [("firsts", "array<int>"), ("lasts", "array<int>")])
+    cuts = per_row(blocks.withColumnRenamed("block", "part"), ["doc_id", "part"], ["first", "last", "chunk_size", "chunk_overlap", "at", "depths"], lambda: cut, [("firsts", "array<int>"), ("lasts", "array<int>")])
     spans = cuts.select("doc_id", F.explode(F.arrays_zip("firsts", "lasts")).alias("s")).select("doc_id", F.col("s.firsts").alias("first_page"), F.col("s.lasts").alias("last_page"))
     return spans.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("last_page")).alias("piece"), "first_page", "last_page")

@@ -51,3 +51,16 @@ def test_blocks(spark, monkeypatch):
     big = spark.createDataFrame([("a", 130, 20, 2)], "doc_id string, n_pages int, chunk_size int, chunk_overlap int")
     out = S.split_documents(big, spark.createDataFrame([], "doc_id string, page_num int, depth int")).orderBy("piece").collect()
     assert [x for r in out for x in range(r.first_page + (2 if r.first_page > 1 else 0), r.last_page + 1)] == list(range(1, 131)) and all(r.last_page - r.first_page < 20 for r in out)
+
+
+def test_blocks_end_at_strong_boundaries(spark, monkeypatch):
+    big = spark.createDataFrame([("a", 130, 20, 2), ("b", 30, 20, 0), ("c", 50, 20, 0)], "doc_id string, n_pages int, chunk_size int, chunk_overlap int")
+    outline = spark.createDataFrame([("a", 41, 3), ("a", 45, 1), ("a", 51, 2), ("a", 97, 1), ("a", 12, 2), ("b", 15, 1), ("c", 48, 1), ("c", 12, 1)], "doc_id string, page_num int, depth int")
+    whole = sorted(map(tuple, S.split_documents(big, outline).collect()))
+    monkeypatch.setattr(S, "BLOCK", 50)
+    out = sorted(map(tuple, S.split_documents(big, outline).collect()))
+    assert [r for r in out if r[0] != "a"] == [r for r in whole if r[0] != "a"]
+    a = [r for r in out if r[0] == "a"]
+    starts = [first + (2 if first > 1 else 0) for _, _, first, _ in a]
+    assert {12, 45, 97} <= set(starts) and starts[0] == 1 and a[-1][3] == 130
+    assert all(x[3] + 1 == s for x, s in zip(a, starts[1:])) and all(last - first < 20 for _, _, first, last in a)
