@@ -61,12 +61,18 @@ def due_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     return diff_manifests(completed_manifest(ledger), listing_manifest(listing), "name", "checksum").where("change <> 'removed'")
 
 
+#: Every so many versions the manifest is written whole.
+SNAPSHOT = 20
+#: Files of deletion vectors that are kept apart.
+MOST_VECTORS = 16
+
+
 class VersionedTable:
     """Records in immutable files with a manifest for each version.
 
-    path/data/*.parquet, path/deleted/*.parquet (deletion vectors: file, row) and path/versions/<number>.json.  A version
-    exists as soon as its manifest does; the manifest is created under its final name, which fails if another writer was
-    first, so commits are atomic and numbers have no gaps.
+    path/data/*.parquet, path/deleted/*.parquet (deletion vectors: file, row) and path/versions/<number>.json, which holds
+    the files and vectors that came and went.  A version exists as soon as its manifest does; creating it fails if another
+    writer was first, so commits are atomic and numbers have no gaps.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -84,26 +90,71 @@ class VersionedTable:
         return max([int(n.removesuffix(".json")) for n in self._files("versions") if n.endswith(".json") and not n.startswith((".", "_"))], default=0)
 
     def manifest(self, version: int | None = None) -> dict:
+        """files, deleted (vectors) and processed of a version: the last snapshot at or before it and the differences since."""
         version = self.version() if version is None else version
-        if not version:
-            return {"files": [], "deleted": [], "processed": {}}
+        steps = []
+        while version:
+            step = self._step(version)
+            steps.append(step)
+            if step["snapshot"]:
+                break
+            version -= 1
+        files: dict[str, None] = {}
+        deleted: dict[str, None] = {}
+        processed: dict[str, int] = {}
+        for step in reversed(steps):
+            for held, name in ((files, "files"), (deleted, "deleted")):
+                for f in step["gone"][name]:
+                    del held[f]
+                held.update(dict.fromkeys(step[name]))
+            processed |= step["processed"]
+        return {"files": list(files), "deleted": list(deleted), "processed": processed}
+
+    def _step(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"{self.path}/versions/{version:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _commit(self, version: int, manifest: dict) -> int:
-        hidden = self._path(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(hidden, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
+    def _commit(self, version: int, manifest: dict, old: dict | None = None) -> int:
+        """Writes what differs from the version before, every SNAPSHOT versions all of it.
+
+        Where a rename is one step (HDFS, local disks) the manifest is written aside and renamed, which fails on a name that
+        exists; on object stores it is created under its name, which they do in one step and refuse for a name that exists.
+        """
+        old = self.manifest(version - 1) if old is None else old
+        whole = version % SNAPSHOT == 1
+        step = {"snapshot": whole, "processed": manifest["processed"], "gone": {"files": [], "deleted": []}}
+        for name in ("files", "deleted"):
+            if whole:
+                step[name] = manifest[name]
+            else:
+                before, now = set(old[name]), set(manifest[name])
+                step[name], step["gone"][name] = [f for f in manifest[name] if f not in before], [f for f in old[name] if f not in now]
+        content = bytearray(json.dumps(step).encode())
         final = self._path(f"{self.path}/versions/{version:012d}.json")
-        if self._fs.exists(final) or not self._fs.rename(hidden, final):
-            self._fs.delete(hidden, False)
-            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        taken = RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        if self._fs.exists(final):
+            raise taken
+        if self._fs.getScheme() in ("file", "hdfs", "viewfs"):
+            hidden = self._path(f"{self.path}/versions/.{uuid.uuid4().hex}")
+            self._put(hidden, content)
+            if not self._fs.rename(hidden, final):
+                self._fs.delete(hidden, False)
+                raise taken
+        else:
+            try:
+                self._put(final, content)
+            except Exception as e:
+                raise taken from e
         return version
 
+    def _put(self, path, content: bytearray) -> None:
+        out = self._fs.create(path, False)
+        out.write(content)
+        out.close()
+
     def _write(self, rows: DataFrame, folder: str) -> list[str]:
         name = f"{folder}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
@@ -112,20 +163,36 @@ class VersionedTable:
     def commit(self, added: DataFrame | None = None, delete: Callable[[DataFrame], DataFrame] | None = None, processed: dict[str, int] | None = None) -> int:
         """A new version: the rows that ``delete`` keeps of the table are deleted, those of ``added`` added.
 
-        processed: versions of other tables that this one has taken in, remembered beside those known.
+        processed: versions of other tables that this one has taken in, remembered beside those known.  Deletion vectors
+        that have become more than MOST_VECTORS files are written again as one.
         """
         before = self.version()
         old = self.manifest(before)
         deleted = list(old["deleted"])
         if delete is not None and old["files"]:
             deleted += self._write(delete(self._read(old, True)).select("_file", "_row"), "deleted")
+        if len(deleted) > MOST_VECTORS:
+            deleted = self._write(self._vectors(deleted).dropDuplicates(["_file", "_row"]).coalesce(1 + len(deleted) // MOST_VECTORS), "deleted")
         new = self._write(added, "data") if added is not None else []
-        return self._commit(before + 1, {"files": old["files"] + new, "deleted": deleted, "processed": old["processed"] | (processed or {})})
+        return self._commit(before + 1, {"files": old["files"] + new, "deleted": deleted, "processed": old["processed"] | (processed or {})}, old)
 
     def replace(self, rows: DataFrame) -> int:
         """A new version of nothing but these rows: compaction, or a full rewrite."""
         before = self.version()
-        return self._commit(before + 1, {"files": self._write(rows, "data"), "deleted": [], "processed": self.manifest(before)["processed"]})
+        old = self.manifest(before)
+        return self._commit(before + 1, {"files": self._write(rows, "data"), "deleted": [], "processed": old["processed"]}, old)
+
+    def merge(self, rows: DataFrame, key: str, fingerprint: str) -> int:
+        """A new version with the content of ``rows``, in which what is the same as before stays in its files.
+
+        Keys that rows doesn't have any more, or with another fingerprint, go into deletion vectors; new keys and fingerprints into new files (a
+        null fingerprint equals nothing).  A key with several rows counts with its greatest fingerprint.
+        """
+        before = self.manifest()
+        if not before["files"]:
+            return self.commit(added=rows)
+        change = diff_manifests(self._read(before), rows, key, fingerprint)
+        return self.commit(added=rows.join(change.where("change <> 'removed'"), key, "left_semi"), delete=lambda held: held.join(change.where("change <> 'added'"), key, "left_semi"))
 
     def _raw(self, files: list[str]) -> DataFrame:
         name = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1)
@@ -151,8 +218,9 @@ class VersionedTable:
         file comes out as removed and added.
         """
         a, b = self.manifest(since), self.manifest(self.version() if until is None else until)
-        new, gone = [f for f in b["files"] if f not in set(a["files"])], [f for f in a["files"] if f not in set(b["files"])]
-        kept, vectors = [f for f in a["files"] if f in set(b["files"])], [f for f in b["deleted"] if f not in set(a["deleted"])]
+        was, now, vectors_then = set(a["files"]), set(b["files"]), set(a["deleted"])
+        new, gone = [f for f in b["files"] if f not in was], [f for f in a["files"] if f not in now]
+        kept, vectors = [f for f in a["files"] if f in now], [f for f in b["deleted"] if f not in vectors_then]
         parts = []
         if new:
             parts.append(self._read(b, files=new).withColumn("_change", F.lit("added")))
@@ -162,7 +230,10 @@ class VersionedTable:
             hit = self._vectors(vectors).dropDuplicates(["_file", "_row"])
             if a["deleted"]:
                 hit = hit.join(self._vectors(a["deleted"]), ["_file", "_row"], "left_anti")
-            parts.append(self._raw(kept).join(hit, ["_file", "_row"]).drop("_file", "_row").withColumn("_change", F.lit("removed")))
+            # Only the files that the new vectors name are opened; their names are some of the manifest's, which is here already.
+            named = {r[0] for r in hit.select("_file").distinct().collect()}
+            if files := [f for f in kept if f in named]:
+                parts.append(self._raw(files).join(hit, ["_file", "_row"]).drop("_file", "_row").withColumn("_change", F.lit("removed")))
         out = parts[0] if parts else None
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -180,3 +251,21 @@ def process(source: VersionedTable, sink: VersionedTable, function: Callable[[Da
         delta = source.changes(done, now)
         sink.commit(added=function(delta) if delta is not None else None, processed={source.path: now})
     return now
+
+
+def take_due(listing: DataFrame, ledger: DataFrame, source: VersionedTable, sink: VersionedTable) -> DataFrame:
+    """name, checksum of the files to process now, by the versions of a table of the folder's files.
+
+    The first version of ``source`` is what the ledger shows completed, which ``sink`` has taken in with it; the next is the last scan,
+    merged into it.  Their difference (new files and deletion vectors) goes to the sink in the commit that saves the
+    version processed: a run that fails before it has taken nothing, and one after it finds nothing to take.
+    """
+    if not source.version():
+        source.commit(added=completed_manifest(ledger))
+    if source.path not in sink.manifest()["processed"]:
+        sink.commit(added=source.read(1).select("name", "checksum", F.lit(False).alias("due")), processed={source.path: 1})
+    since = sink.version()
+    source.merge(listing_manifest(listing).where("name is not null"), "name", "checksum")
+    process(source, sink, lambda delta: delta.where("_change = 'added'").select("name", "checksum", F.lit(True).alias("due")))
+    taken = sink.changes(since)
+    return (sink.read().limit(0) if taken is None else taken.where("_change = 'added'")).where("due").select("name", "checksum")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import new_folder, table
-from ..operators.incremental import VersionedTable, checksum, diff_manifests, due_files, listing_manifest, process
+from ..operators.incremental import VersionedTable, checksum, diff_manifests, listing_manifest, process, take_due
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return due_files(table(spark, sf_dir, "file_listing"), table(spark, sf_dir, "processed_files")).select("name")
+    source, sink = VersionedTable(spark, new_folder(spark, "folder")), VersionedTable(spark, new_folder(spark, "taken"))
+    return take_due(table(spark, sf_dir, "file_listing"), table(spark, sf_dir, "processed_files"), source, sink).select("name")
 
 
 def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda df, by: df.select((F.col("scan_id") + by).alias("scan_id"), "name", "checksum").withColumn("entry", F.struct("scan_id", "name"))
     scans = listing.select("scan_id").distinct()
     changes = diff_manifests(step(held, 1), step(held, 0), "entry", "checksum").select("entry.scan_id", "entry.name", "change")
-    return changes.join(F.broadcast(scans), "scan_id", "left_semi")
+    return changes.join(scans, "scan_id", "left_semi")
 
 
 def processed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +31,7 @@ def processed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = sorted(r.scan_id for r in listing.select("scan_id").distinct().collect())  # one for each run over the folder
     for n in numbers:
         now = listing_manifest(listing.where(F.col("scan_id") == n))
-        if n == numbers[0]:
-            source.commit(added=now)
-        else:
-            before = source.read()
-            change = diff_manifests(before, now, "name", "checksum")
-            source.commit(added=now.join(change.where("change <> 'removed'"), "name", "left_semi"), delete=lambda rows, c=change: rows.join(c.where("change <> 'added'"), "name", "left_semi"))
+        source.merge(now, "name", "checksum")
         process(source, sink, lambda delta: delta.select("name", "checksum", "_change"))
     return sink.read().groupBy("name").agg(F.count_if(F.col("_change") == "added").alias("n_added"), F.count_if(F.col("_change") == "removed").alias("n_removed"))
 

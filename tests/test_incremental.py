@@ -76,3 +76,63 @@ def test_commits_dont_overwrite(spark):
     t.commit(added=spark.range(1))
     with pytest.raises(RuntimeError):
         t._commit(1, {"files": [], "deleted": [], "processed": {}})
+
+
+def test_changes_open_only_the_files_named(spark):
+    t = VersionedTable(spark, new_folder(spark, "files"))
+    for i in range(6):
+        t.commit(added=spark.range(10 * i, 10 * i + 10).coalesce(1))
+    at = t.commit(delete=lambda df: df.where("id in (3, 47)"))
+    opened = []
+    raw = t._raw
+    t._raw = lambda files: opened.append(files) or raw(files)
+    assert rows(t.changes(at - 1).select("id", "_change")) == [(3, "removed"), (47, "removed")]
+    assert [len(f) for f in opened] == [2]
+
+
+def test_manifests_hold_differences_and_vectors_are_put_together(spark, monkeypatch):
+    from leafwright.operators import incremental
+
+    monkeypatch.setattr(incremental, "SNAPSHOT", 4)
+    monkeypatch.setattr(incremental, "MOST_VECTORS", 2)
+    t = VersionedTable(spark, new_folder(spark, "long"))
+    for i in range(7):
+        t.commit(added=spark.range(5 * i, 5 * i + 5).coalesce(1), delete=lambda df, i=i: df.where(F.col("id") == i))
+    assert [len(t._step(v)["files"]) for v in range(1, 8)] == [1, 1, 1, 1, 5, 1, 1]
+    assert len(t.manifest()["deleted"]) <= 4 and [len(t.manifest(v)["files"]) for v in range(8)] == list(range(8))
+    assert [r[0] for r in rows(t.read())] == [i for i in range(35) if i not in range(1, 7) or i == 0]
+    assert rows(t.changes(3, 7).where("_change = 'removed'").select("id")) == [(3,), (4,), (5,), (6,)]
+
+
+def test_merge_writes_only_what_differs(spark):
+    t = VersionedTable(spark, new_folder(spark, "merge"))
+    table = lambda *r: spark.createDataFrame(list(r), "k string, f string")
+    t.merge(table(("a", "1"), ("b", "1"), ("c", None)), "k", "f")
+    t.merge(table(("a", "1"), ("b", "2"), ("d", "1"), ("c", None)), "k", "f")
+    assert rows(t.changes(1).select("k", "_change")) == [("b", "added"), ("b", "removed"), ("c", "added"), ("c", "removed"), ("d", "added")]
+    assert sorted(r.k for r in t.read().collect()) == ["a", "b", "c", "d"]
+
+
+def test_taking_due_files_neither_skips_nor_repeats(spark, monkeypatch):
+    from leafwright.operators import incremental
+
+    listing = spark.createDataFrame([(2, "new", "AA", "1", ""), (2, "same", "sha256:BB", "1", ""), (2, "changed", "cc", "1", ""), (2, None, "zz", "1", "")], LISTING)
+    ledger = spark.createDataFrame([(1, "same", "bb", "Completed", "1", "1", 0), (2, "changed", "c0", "completed", "1", "1", 0), (3, "gone", "ee", "completed", "1", "1", 0)], LEDGER)
+    source, sink = VersionedTable(spark, new_folder(spark, "folder")), VersionedTable(spark, new_folder(spark, "taken"))
+    real, calls = sink.commit, []
+
+    def failing(**k):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(**k)
+
+    sink.commit = failing
+    with pytest.raises(RuntimeError):
+        incremental.take_due(listing, ledger, source, sink)
+    take = lambda new: {r.name for r in incremental.take_due(new, ledger, source, sink).collect()}
+    assert take(listing) == {"new", "changed"} == {r.name for r in due_files(listing, ledger).collect()}
+    assert take(listing) == set()
+    later = listing.unionByName(spark.createDataFrame([(3, "new", "AA", "3", ""), (3, "newer", "11", "3", ""), (3, "same", "b2", "3", "")], LISTING))
+    assert take(later) == {"newer", "same"}
+    assert sorted(r.name for r in sink.read().where("due").collect()) == ["changed", "new", "newer", "same"]
