@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .audit import mean_word_length
-from .text import SPACE, word_count
+from .text import SPACE, markdown_table, strip, word_count
 
 # TeX commands that mean mathematics.
 MATH = (
@@ -61,3 +61,37 @@ def by_document(pages: DataFrame, doc: str, page: str, native: str) -> DataFrame
     n = F.col("n")
     out = one.groupBy(doc).agg(F.count("*").alias("n_pages"), F.count_if(n).alias("n_native"), F.bool_and(n).alias("all_native"), F.bool_and(~n).alias("none_native"), F.sort_array(F.collect_list(F.when(n, F.col(page)))).alias("native_pages"))
     return out.withColumn("mixed", ~F.col("all_native") & ~F.col("none_native"))
+
+
+def has_tables(text: Column) -> Column:
+    """A stand-in where nothing looked for tables on the page: a row of cells with the rule of a table's head below it."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?m)^\s*\|.*\|\s*$\n^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$")
+
+
+def structured_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, page_num, text of each page with text: its blocks of text in their order, tables as Markdown in place of the blocks they cover.
+
+    blocks: doc_id, page_num, block_id, x0, y0, x1, y1, lines (null for an image); tables: doc_id, page_num, x0, y0, x1, y1,
+    rows.  A table comes before the first block that doesn't begin above it, or last.  Empty tables cover nothing.
+    """
+    page = ["doc_id", "page_num"]
+    corners = ["x0", "y0", "x1", "y1"]
+    found = tables.withColumn("md", markdown_table(F.col("rows"))).where("md <> ''").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "md"))).alias("t"))
+    held = blocks.where("lines is not null").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("block_id", *corners, "lines"))).alias("b"))  # a page's blocks
+    both = held.join(found, page, "full").select(*page, F.coalesce("b", F.array().cast(held.schema["b"].dataType)).alias("b"), F.coalesce("t", F.array().cast(found.schema["t"].dataType)).alias("t"))
+    covered = lambda b: F.exists("t", lambda t: (b["x0"] < t["x1"]) & (t["x0"] < b["x1"]) & (b["y0"] < t["y1"]) & (t["y0"] < b["y1"]))
+    tables_at = lambda i, b: F.filter("t", lambda t: (t["y0"] <= b["y0"]) & ~F.exists(F.slice("b", 1, i), lambda e: t["y0"] <= e["y0"]))
+    lines = lambda b: F.filter(F.transform(b["lines"], lambda x: F.trim(x)), lambda x: x != "")
+    as_text = lambda ts: F.transform(ts, lambda t: F.concat(F.lit("\n"), t["md"], F.lit("\n")))
+    none = F.array().cast("array<string>")
+    body = F.flatten(F.transform("b", lambda b, i: F.concat(as_text(tables_at(i, b)), F.when(covered(b), none).otherwise(lines(b)))))
+    rest = as_text(F.filter("t", lambda t: ~F.exists("b", lambda b: t["y0"] <= b["y0"])))
+    return both.select(*page, strip(F.array_join(F.concat(body, rest), "\n")).alias("text")).where("text <> ''")
+
+
+def one_page(assessments: DataFrame, doc_id, page_num: int) -> DataFrame:
+    """The row of a page; a page that the document doesn't have is an error."""
+    row = assessments.where((F.col("doc_id") == doc_id) & (F.col("page_num") == page_num)).limit(1)
+    if row.isEmpty():
+        raise ValueError(f"no page {page_num} of {doc_id}")
+    return row

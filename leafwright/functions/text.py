@@ -21,7 +21,10 @@ PLAIN = {
     "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb00": "ff",
 }
 # Substrings that name a figure's type, in order of precedence.
-FIGURE_TYPES = ("chart", "graph", "table", "diagram", "map", "equation")
+FIGURE_TYPES = {
+    "chart": ("bar chart", "pie chart", "chart"), "graph": ("line graph", "scatter plot", "graph", "plot"), "table": ("table", "tabular"),
+    "diagram": ("diagram", "flowchart", "schematic", "architecture"), "map": ("map", "geographic", "spatial"), "equation": ("equation", "formula", "mathematical"),
+}
 
 
 def let(value: Column, body) -> Column:
@@ -142,10 +145,10 @@ def _table(rows: Column, width: Column) -> Column:
     return let(body, lambda b: F.array_join(F.concat(F.slice(b, 1, 1), F.array(rule), F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0)))), "\n"))
 
 
-def figure_type(description: Column, default: str = "unknown") -> Column:
+def figure_type(description: Column, default: str | None = "unknown") -> Column:
     d = F.lower(description)
-    found = reduce(lambda w, t: w.when(d.contains(t), t), FIGURE_TYPES[1:], F.when(d.contains(FIGURE_TYPES[0]), FIGURE_TYPES[0]))
-    return found.otherwise(default)
+    named = [F.when(reduce(lambda a, b: a | b, [d.contains(w) for w in words_]), t) for t, words_ in FIGURE_TYPES.items()]
+    return F.coalesce(*named, F.lit(default).cast("string"))
 
 
 def response_text(body: Column) -> Column:

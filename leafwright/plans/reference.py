@@ -783,7 +783,7 @@ SELECT doc_id AS paper_name, engine, 0.25::DOUBLE AS overall_wer, 0.5::DOUBLE AS
     "q_engine_ranking": _RANKED + "SELECT category, engine, rank, round(rate, 6) AS rate FROM ranked",
     "q_engine_chains": _RANKED + "SELECT category, string_agg(engine, ',' ORDER BY rank) AS chain FROM ranked GROUP BY category",
     "q_responses": f"""WITH {_ATTEMPTS}, x AS (SELECT *, coalesce(trim(text, ' '), '') AS t FROM a) SELECT doc_id, page_num, attempt_seq, CASE WHEN coalesce(status, '') = 'error' THEN 'api_error' WHEN length(t) < 10 THEN 'empty_output' ELSE 'none' END AS failure, length(t) AS n_chars FROM x""",
-    "q_figure_types": "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(coalesce(text, '')), '{t}') THEN '{t}'" for t in text.FIGURE_TYPES) + " ELSE 'unknown' END AS figure_type FROM documents",
+    "q_figure_types": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{'|'.join(w)}') THEN '{t}'" for t, w in text.FIGURE_TYPES.items()) + " ELSE 'unknown' END AS figure_type FROM documents",
     "q_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "q_stream_totals": _AUDIT.replace("CASE WHEN a.page_num = 0 THEN coalesce(p.pages, 0) ELSE 0 END AS pages", "0 AS pages") + "SELECT engine, primary_failure, count(*) AS n FROM audited GROUP BY engine, primary_failure",
     "q_audit_warnings": _AUDIT

@@ -27,7 +27,7 @@ def engine(name: str) -> Engine:
 def run_engine(pages: DataFrame, name: str, content: str = "content") -> DataFrame:
     """doc_id, page_num, engine, text, status, failure_mode, confidence, processing_time, error, audit_passed of each page.
 
-    A timeout, another exception and an empty result are rows with their failure mode, never a failure of the task; they
+    A timeout, another exception (of the mode in its attribute failure, else cli_error) and an empty result are rows with their failure mode, never a failure of the task; they
     don't pass the audit.  Filter the pages before: what is below a Python function isn't pushed down further.
     """
     call = engine(name)
@@ -45,7 +45,7 @@ def run_engine(pages: DataFrame, name: str, content: str = "content") -> DataFra
                 except TimeoutError as e:
                     failure, error = "timeout", str(e)[:500]
                 except Exception as e:
-                    failure, error = "cli_error", str(e)[:500]
+                    failure, error = getattr(e, "failure", "cli_error"), str(e)[:500]
                 ok = failure == "none"
                 rows.append((d, p, name.lower(), text, "success" if ok else "error", failure, confidence if ok else 0.0, time.monotonic() - began, error, ok))
             yield pd.DataFrame(rows, columns=names)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -20,18 +22,22 @@ def front_matter(source: Column, engine: Column, version: Column, processed: Col
 
 
 def _files(df: DataFrame, root: str) -> None:
-    """Writes the column data to the file named by the column file under a folder all executors share; each appears whole or not at all."""
+    """Writes the column data to the file named by the column file under a folder all executors share (a path, or a URI of a
+    file system that Arrow knows: file, hdfs, s3, gs); each appears whole or not at all."""
 
     def write(rows: Iterable) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
         for r in rows:
-            path = os.path.join(root, r.file)
-            if not os.path.realpath(path).startswith(os.path.realpath(root) + os.sep):
+            path = posixpath.normpath(f"{base}/{r.file}")
+            if not path.startswith(base.rstrip("/") + "/"):
                 raise ValueError(f"outside {root}: {r.file}")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "wb") as f:
+            system.create_dir(posixpath.dirname(path), recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as f:
                 f.write(bytes(r.data))
-            os.replace(part, path)
+            system.move(part, path)
 
     df.select("file", "data").foreachPartition(write)
 
@@ -58,3 +64,15 @@ def write_figures(figures: DataFrame, root: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def settings_yaml(settings) -> str:
+    """The engines of the settings as YAML, the form that ``readers.read_settings`` reads."""
+    lines = [f"primary_engine: {settings.primary_engine}", "fallback_chain:" + ("" if settings.fallback_chain else " []"), *(f"- {e}" for e in settings.fallback_chain)]
+    return "\n".join(lines) + "\n"
+
+
+def write_settings(spark, settings, path: str) -> None:
+    """settings_yaml in one file."""
+    folder, _, name = path.rpartition("/")
+    _files(spark.createDataFrame([(name, settings_yaml(settings).encode())], "file string, data binary"), folder)
