@@ -3,7 +3,8 @@
 ``measure`` cuts a text into segments (sentences of its paragraphs, lines of its lists and tables) and says
 how many of its words stand in sentences.  It knows languages only by their function words, the small closed
 class (articles, prepositions, pronouns, conjunctions) that no sentence does without and that lists of terms,
-tables, keyword spam and random characters lack.
+tables, keyword spam and random characters lack.  A text in another language is searched for its own
+(``own_function_words``).
 """
 
 from __future__ import annotations
@@ -135,13 +136,13 @@ def _looks_tabular(line: str) -> bool:
     return sum(w in ANY_FUNCTION_WORD for w in words) <= 0.1 * len(words)
 
 
-def is_sentence(segment: str) -> bool:
+def is_sentence(segment: str, function_words: frozenset[str] = ANY_FUNCTION_WORD) -> bool:
     tokens = words_of(_ITEM.sub("", segment))
     words = [w for w in tokens if w.isalpha() or len(w) > 3 and w.replace("-", "").replace("'", "").replace("’", "").isalpha()]
     n = len(words)
     if n < LEAST_WORDS or n < LEAST_ALPHABETIC * len(tokens):
         return False
-    hits = sum(w in ANY_FUNCTION_WORD for w in words)
+    hits = sum(w in function_words for w in words)
     if not LEAST_FUNCTION * n <= hits <= MOST_FUNCTION * n:
         return False
     return 2.2 * n <= sum(map(len, words)) <= 14 * n
@@ -154,13 +155,43 @@ def language_of(words: list[str]) -> str:
     return min(votes, key=lambda k: (-votes[k], k)) if votes else "und"
 
 
+def own_function_words(parts: list[str]) -> frozenset[str]:
+    """The closed class of a language that isn't known, as far as the text shows it: its short words that stand in at least three sentences and a tenth of them.
+
+    Only segments that look like sentences in any language count: of five words or more, begun without a small letter and ended by a
+    mark.  Fewer than five of them, or less than three fifths of the words in them, show nothing.
+    """
+    found: Counter = Counter()
+    n = inside = total = 0
+    for s in parts:
+        tokens = words_of(s)
+        total += len(tokens)
+        if len(tokens) >= 5 and not s.lstrip()[:1].islower() and s.rstrip("\"'”’»)] \t").endswith(_MARKS):
+            n += 1
+            inside += len(tokens)
+            found.update({w for w in tokens if 1 < len(w) <= 4 and w.isalpha()})
+    if n < 5 or 5 * inside < 3 * total:
+        return frozenset()
+    return frozenset(w for w, k in found.items() if k >= max(3, 0.1 * n))
+
+
+_MARKS = (".", "!", "?", "…", "。", "！", "？", "।", "؟", "։")
+
+
 def prose_share(text: str) -> tuple[int, int, int]:
-    """Words in sentences, words in all, segments."""
-    inside = total = 0
+    """Words in sentences, words in all, segments.  Where hardly any function word is known, the text's own take their place."""
     parts = segments(without_markup(text))
+    inside, total = _share(parts, ANY_FUNCTION_WORD)
+    if 4 * inside < total and (own := own_function_words(parts)):
+        inside = max(inside, _share(parts, own)[0])
+    return inside, total, len(parts)
+
+
+def _share(parts: list[str], function_words: frozenset[str]) -> tuple[int, int]:
+    inside = total = 0
     for s in parts:
         n = len(s.split())
         total += n
-        if is_sentence(s):
+        if is_sentence(s, function_words):
             inside += n
-    return inside, total, len(parts)
+    return inside, total

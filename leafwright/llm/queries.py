@@ -53,6 +53,11 @@ def p3_truncation_rates(spark, sf_dir):
     return texts.join(cut, keys, "left").groupBy("engine").agg(F.count("*").alias("n_texts"), F.count("cut").alias("n_cut"), (F.count("cut") / F.count("*")).alias("rate"))
 
 
+def p3_texts(spark, sf_dir):
+    """engine, n_texts, consistent: the texts that the rates are of, and whether no more are cut."""
+    return p3_truncation_rates(spark, sf_dir).select("engine", "n_texts", (F.col("n_cut") <= F.col("n_texts")).alias("consistent"))
+
+
 def p4_found(spark, sf_dir):
     prose = quality.not_prose(_attempts(spark, sf_dir), KEYS, "text").select(*KEYS)
     return prose.unionByName(quality.wrong_counts(_pages(spark, sf_dir), KEYS, "text", "word_count", "char_count").select(*KEYS))
@@ -74,6 +79,15 @@ def p5_pieces(spark, sf_dir):
     return splitting.split_documents(_oversized(spark, sf_dir), table(spark, sf_dir, "outline"))
 
 
+def p5_coverage(spark, sf_dir):
+    """doc_id, n_pages, n_covered, fits, n_first, n_last: whether the pieces of each document hold all of its pages within the limit."""
+    docs = _oversized(spark, sf_dir).distinct()
+    pieces = splitting.split_documents(docs, table(spark, sf_dir, "outline")).join(docs, "doc_id")
+    size = F.col("last_page") - F.col("first_page") + 1
+    each = pieces.select("doc_id", "n_pages", (size <= F.col("chunk_size")).alias("fits"), "first_page", "last_page", F.explode(F.sequence("first_page", "last_page")).alias("page"))
+    return each.groupBy("doc_id", "n_pages").agg(F.count_distinct("page").alias("n_covered"), F.bool_and("fits").alias("fits"), F.min("first_page").alias("n_first"), F.max("last_page").alias("n_last"))
+
+
 def p5_found(spark, sf_dir):
     """The documents that came out in more than one piece: those with more pages than their limit."""
     return p5_pieces(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -116,6 +130,15 @@ def p8_containers(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_limits"))
 
 
+def p8_coverage(spark, sf_dir):
+    """pack_name, n_texts, over, split, torn: texts packed, containers over their capacity, texts split that would fit, texts whose parts aren't 0, 1, 2, ..."""
+    rows = p8_containers(spark, sf_dir)
+    over = rows.groupBy("pack_name", "container").agg((F.sum("tokens") > F.max("capacity_tokens")).cast("int").alias("over")).groupBy("pack_name").agg(F.sum("over").alias("over"))
+    texts = rows.groupBy("pack_name", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"), F.max("capacity_tokens").alias("capacity"))
+    split, torn = ((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).cast("int"), ((F.col("parts") != F.col("n")) | (F.col("last") != F.col("n") - 1)).cast("int")
+    return texts.groupBy("pack_name").agg(F.count("*").alias("n_texts"), F.sum(split).alias("split"), F.sum(torn).alias("torn")).join(over, "pack_name")
+
+
 def p9_found(spark, sf_dir):
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
 
@@ -137,6 +160,12 @@ def p10_source_rates(spark, sf_dir):
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
+def p10_source_counts(spark, sf_dir):
+    """source, n_docs, consistent: the rates' documents of each source, and whether their counts add up."""
+    rates = p10_source_rates(spark, sf_dir)
+    return rates.select("source", "n_docs", ((F.col("n_abusive") + F.col("n_hateful") + F.col("n_sexual") == F.col("n_flagged")) & (F.col("n_flagged") <= F.col("n_docs"))).alias("consistent"))
+
+
 def p10_held_out_sources(spark, sf_dir):
     """The labelled documents of each source by the cutoff fitted on the other sources."""
     return abuse.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), "source")
