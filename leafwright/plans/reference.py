@@ -429,11 +429,12 @@ def q_embedded_images(spark, sf_dir):
 def _runs(spark, sf_dir):
     """Readings of pages with a text layer as benchmark runs; as error rate the share of the layer's different words that a reading lacks."""
     category = table(spark, sf_dir, "handles").groupBy("doc_id").agg(F.max_by("paper_category", F.struct("added_at", "page_count")).alias("category"))
-    words = lambda c: F.array_distinct(text.words(F.lower(F.coalesce(F.col(c), F.lit("")))))
-    truth = _native(spark, sf_dir).where("is_born_digital").select(*PAGE, words("native_text").alias("truth")).dropDuplicates(PAGE)
-    read = _attempts(spark, sf_dir).select(*KEYS, F.lower("engine").alias("engine"), "failure_mode", "processing_time", F.coalesce("status", F.lit("")).alias("status"), words("text").alias("words")).dropDuplicates(KEYS)
+    # Hashes of words move, once, and copies of rows go after the rate is known.
+    words = lambda c: F.array_distinct(F.transform(text.words(F.lower(F.coalesce(F.col(c), F.lit("")))), lambda w: F.xxhash64(w)))
+    truth = _native(spark, sf_dir).where("is_born_digital").select(*PAGE, words("native_text").alias("truth"))
+    read = _attempts(spark, sf_dir).select(*KEYS, F.lower("engine").alias("engine"), "failure_mode", "processing_time", F.coalesce("status", F.lit("")).alias("status"), words("text").alias("words"))
     lacks = F.size(F.array_except("truth", "words")) / F.size("truth")
-    rows = read.join(truth, PAGE, "left").select(*KEYS, "engine", "failure_mode", "processing_time", F.when((F.col("status") != "error") & (F.size("truth") > 0), lacks).alias("wer"))
+    rows = read.join(truth, PAGE, "left").select(*KEYS, "engine", "failure_mode", "processing_time", F.when((F.col("status") != "error") & (F.size("truth") > 0), lacks).alias("wer")).dropDuplicates(KEYS)
     return rows.join(category, "doc_id", "left")
 
 
