@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import new_folder, table
+from ..common import new_folder, spread, table
 from ..functions import audit, pages, text
 from ..operators import assembly, benchmark, consensus, figures, images, latex, pipeline, routing, state
 from ..operators.incremental import VersionedTable, checksum, listing_manifest
@@ -25,7 +25,7 @@ AVAILABLE = ["nougat", "deepseek", "gemini", "mistral", "gemini-api"]
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As delivered: rows may come twice.  Queries drop the second of what they computed, not of the texts."""
-    return table(spark, sf_dir, "attempts")
+    return spread(table(spark, sf_dir, "attempts"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "page_assessment")
+    return spread(table(spark, sf_dir, "page_assessment"))
 
 
 def _audited(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -162,14 +162,14 @@ def q_missing_images(spark, sf_dir):
 
 
 def q_best_reading(spark, sf_dir):
-    rows = consensus.best_reading(table(spark, sf_dir, "attempts"))
+    rows = consensus.best_reading(_attempts(spark, sf_dir))
     return rows.select("doc_id", "page_num", "attempt_seq", "viable", "n_attempts", "any_passed", F.round("score", 6).alias("score"))
 
 
 def q_grounded_reading(spark, sf_dir):
     """The best reading where the page's text layer is the reference."""
     reference = _native(spark, sf_dir).select(*PAGE, F.col("native_text").alias("reference")).dropDuplicates(PAGE)
-    return consensus.best_reading(table(spark, sf_dir, "attempts"), reference)
+    return consensus.best_reading(_attempts(spark, sf_dir), reference)
 
 
 def q_agreement(spark, sf_dir):
@@ -181,7 +181,7 @@ def q_discrepancies(spark, sf_dir):
 
 
 def q_top_readings(spark, sf_dir):
-    return consensus.top_readings(table(spark, sf_dir, "attempts")).select(*KEYS, "rank", F.round("score", 6).alias("score"))
+    return consensus.top_readings(_attempts(spark, sf_dir)).select(*KEYS, "rank", F.round("score", 6).alias("score"))
 
 
 def q_arbiter_choices(spark, sf_dir):
@@ -479,7 +479,7 @@ def _truth(spark, sf_dir):
 
 def q_page_scores(spark, sf_dir):
     """Word and character error rates of the readings against the text layer of born-digital pages."""
-    return benchmark.page_scores(table(spark, sf_dir, "attempts"), _truth(spark, sf_dir))
+    return benchmark.page_scores(_attempts(spark, sf_dir), _truth(spark, sf_dir))
 
 
 def q_document_scores(spark, sf_dir):
