@@ -19,6 +19,11 @@ FORMATTING = (
     r"Include page numbers", r"Include captions", r"Proofread your work", r"double[- ]spaced", r"single[- ]spaced", r"Times New Roman",
     r"formatting guidelines", r"submission guidelines", r"page margins",
 )
+# Without one of these, in lower case, no pattern of FORMATTING fits; the last two have case forms of their own.
+FORMATTING_ANCHORS = (
+    "standard font", "print on", "include all", "include figures", "include tables", "include links", "include references", "include page numbers", "include captions",
+    "proofread", "spaced", "times new roman", "guidelines", "page margins", "\u017f", "\u212a",
+)
 # Failure modes by rising priority.
 PRIORITY = ("low_word_count", "garbage", "truncated", "empty_output", "refusal", "hallucination")
 # What a failing metric stands for.
@@ -39,7 +44,10 @@ def loops(text: Column) -> Column:
 
 
 def formatting_patterns(text: Column) -> Column:
-    return reduce(lambda a, b: a + b, [text.rlike(f"(?iu){p}").cast("int") for p in FORMATTING])
+    """How many patterns fit; the expressions run only on texts that have a word of theirs."""
+    lower = F.lower(text)
+    near = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in FORMATTING_ANCHORS])
+    return F.when(near, reduce(lambda a, b: a + b, [text.rlike(f"(?iu){p}").cast("int") for p in FORMATTING])).otherwise(0)
 
 
 def garbage_ratio(text: Column) -> Column:
