@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leafwright.llm import abuse as A
@@ -108,3 +110,31 @@ def test_held_out(spark):
     out = {r.source: r for r in A.held_out(docs, labels, "source").collect()}
     assert sum(r.n_labelled for r in out.values()) == 56 and all(r.n_both == r.n_bad == r.n_flagged for r in out.values())
     assert A.held_out(docs, labels.limit(0), "source").count() == 0
+
+
+def test_all_labelled_documents_count(spark):
+    n = 12_000
+    docs = spark.range(n).selectExpr("id as doc_id", f"if(id % 3 = 0, 'You are a worthless idiot.', '{CALM}') as text", "nullif(id % 7, 0) as source")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 'abusive', 'ok') as label")
+    out = {r.source: (r.n_labelled, r.n_bad, r.n_flagged, r.n_both) for r in A.held_out(docs, labels, "source").collect()}
+    bad = {g: sum(i % 3 == 0 and i % 7 == (g or 0) for i in range(n)) for g in out}
+    assert out == {g: (sum(i % 7 == (g or 0) for i in range(n)), bad[g], bad[g], bad[g]) for g in out} and len(out) == 7
+
+
+def slow_cutoff(rows):
+    best = (-1.0, 0.0, A.CUTOFF)
+    for c in [0.5 + 0.05 * i for i in range(23)]:
+        tp = sum(bad and score >= c for score, bad in rows)
+        if tp:
+            best = max(best, (round(2 * tp / (sum(bad for _, bad in rows) + sum(score >= c for score, _ in rows)), 4), -abs(c - A.CUTOFF), c))
+    return best[2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_cutoff_is_that_of_all_labels(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, s, rng.random() < (0.9 if s >= 1 else 0.45 + 0.01 * seed)) for i, s in enumerate(rng.choice([0.0, 0.5, 0.55, 0.65, 0.7, 0.85, 1.0, 1.2, 1.6, 2.5]) for _ in range(11_000))]
+    scores = spark.createDataFrame([(i, s) for i, s, _ in rows] + [(i, s) for i, s, _ in rows[:50]], "doc_id int, score double")
+    labels = spark.createDataFrame([(i, "hateful" if b else "ok") for i, _, b in rows], "doc_id int, label string")
+    assert A.fitted_cutoff(scores, labels) == slow_cutoff([(s, b) for _, s, b in rows])
+    assert A.fitted_cutoff(scores, labels.limit(0)) == A.CUTOFF
