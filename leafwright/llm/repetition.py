@@ -4,36 +4,42 @@ A word is repeated if it stands in a run of ``RUN`` words that occurred before i
 Case, punctuation, spacing and numbers don't count.  Which share is too much is decided by cutoffs with controlled risk
 (``certified``): on a labelled holdout the lowest cutoff is chosen for which it is certain, by an exact binomial bound,
 that at most a given part of the texts below the wanted share is rejected, in every stratum (language and length).  The
-holdout labels itself: texts of the corpus, freed of their repetitions, into which repetitions of a known share were put.
+holdout labels itself: all texts of the corpus, freed of their repetitions, into which repetitions of a known share were put.
 What is certified is the whole rule, ``score`` >= cutoff.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import hash_sample, per_row
-from .prose import ANY_FUNCTION_WORD, _ITEM, _EDGES, is_sentence, language_of, segments, without_markup
+from ..common import per_row
+from .prose import ANY_FUNCTION_WORD, LANGUAGES, _ITEM, _EDGES, is_sentence, language_of, segments, without_markup
 
 RUN = 6
 #: The share that makes a case, the part of the others that may be rejected, the probability that more are.
 SHARE, RISK, ERROR = 0.4, 0.02, 0.05
-#: Texts in the holdout, about; at most twice as many are scored, and only their scores come to the driver.
-HOLDOUT = 1200
 GRID = tuple(round(0.30 + 0.01 * i, 2) for i in range(41))
 LENGTHS = ("short", "long")
 LONG = 120
+STRATA = [f"{language} {length}" for language in (*LANGUAGES, "und") for length in LENGTHS]
+_AT = {name: i * (len(GRID) + 1) for i, name in enumerate(STRATA)}
 
 _DIGITS = re.compile(r"\d+")
+_VOWELS = frozenset("aeiouyäöüáéíóúàèùâêîôûœ")
 
 
 def _plain(token: str) -> str:
-    return _DIGITS.sub("0", token.strip(_EDGES))
+    bare = token.strip(_EDGES)
+    return bare if bare.isalpha() else _DIGITS.sub("0", bare)
 
 
 def words(text: str) -> list[str]:
@@ -48,10 +54,13 @@ def repeated(tokens: list[str], run: int = RUN) -> int:
 
 def _runs(tokens: list[str], run: int) -> list[tuple[int, int]]:
     """The stretches of such tokens, begin and end."""
+    grams = list(zip(*(tokens[j:] for j in range(run))))
     seen: set[tuple] = set()
     add = seen.add
     out: list[tuple[int, int]] = []
-    for i, gram in enumerate(zip(*(tokens[j:] for j in range(run)))):
+    if len(set(grams)) == len(grams):
+        return out
+    for i, gram in enumerate(grams):
         if gram in seen:
             if out and i <= out[-1][1]:
                 out[-1] = (out[-1][0], i + run)
@@ -62,13 +71,13 @@ def _runs(tokens: list[str], run: int) -> list[tuple[int, int]]:
     return out
 
 
-def _lines(text: str) -> list[tuple[int, int]]:
+def _lines(lines: list[str], said: list[list[str]]) -> list[tuple[int, int]]:
     """The stretches of words in lines of two to RUN - 1 words that came before; labels and numbers aside, a line says something if it has a function word or ends like a sentence."""
     out: list[tuple[int, int]] = []
     seen: set[tuple] = set()
     at = 0
-    for line in text.split("\n"):
-        key = tuple(words(line))
+    for line, tokens in zip(lines, said):
+        key = tuple(tokens)
         n = len(key)
         if 1 < n < RUN and any(w.isalpha() for w in key):
             if key not in seen:
@@ -89,57 +98,74 @@ def _united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> int:
 
 def repeated_share(text: str | None) -> tuple[float, int]:
     """Repeated share and number of words; (0.0, 0) for no words.  Words in runs and in lines of two to RUN - 1 words that came before, each once."""
-    tokens = words(text or "")
+    lines = (text or "").split("\n")
+    said = [words(x) for x in lines]
+    tokens = said[0] if len(said) == 1 else [w for x in said for w in x]
     n = len(tokens)
     if n < 4:
         return 0.0, n
     runs = _runs(tokens, RUN)
-    return _united(runs, _lines(text) if "\n" in text else []) / n, n
+    return _united(runs, _lines(lines, said) if len(said) > 1 else []) / n, n
 
 
 def is_wordy(text: str) -> bool:
     """Whether the text consists of words, not of codes, single letters or broken characters."""
-    tokens = set(words(without_markup(text)))
+    return _wordy(set(words(without_markup(text))))
+
+
+def _wordy(tokens: set[str]) -> bool:
     good = [t for t in tokens if t.isalpha() and 1 < len(t) <= 60]
-    vowels = sum(any(c in "aeiouyäöüáéíóúàèùâêîôûœ" for c in t) for t in good)
+    vowels = len(good) - sum(map(_VOWELS.isdisjoint, good))
     return bool(tokens) and len(good) >= 0.5 * len(tokens) and vowels >= 0.8 * len(good)
 
 
 def without_rows(text: str) -> str:
     """The text less its table rows and list entries.  A line of cells counts as a row if it says many different things."""
+    return _without_rows(without_markup(text))
+
+
+def _without_rows(text: str, said: list[str] | None = None) -> str:
+    """said: the words of a text of one line."""
     kept = []
-    for line in without_markup(text).split("\n"):
-        tokens = words(line)
+    for line in text.split("\n"):
+        tokens = words(line) if said is None else said
         cells = line.count(",") + line.count("\t") + line.count("|") + line.count("  ") + line.count(";")
-        digits = sum(not t.isalpha() for t in tokens)
-        function = sum(t in ANY_FUNCTION_WORD for t in tokens)
-        row = tokens and cells > 1 and function <= 0.1 * len(tokens) and (digits >= 0.3 * len(tokens) or len(set(tokens)) > 0.6 * len(tokens) and len(tokens) <= 3 * cells)
-        entry = tokens and _ITEM.match(line) and (function <= 0.1 * len(tokens) and len(tokens) < 12 or len(tokens) < 7)
-        if not row and not entry and not (tokens and digits == len(tokens)):
+        item = _ITEM.match(line)
+        few = tokens and (cells > 1 or item) and sum(t in ANY_FUNCTION_WORD for t in tokens) <= 0.1 * len(tokens)
+        digits = sum(not t.isalpha() for t in tokens) if few else 0
+        row = cells > 1 and few and (digits >= 0.3 * len(tokens) or len(set(tokens)) > 0.6 * len(tokens) and len(tokens) <= 3 * cells)
+        entry = tokens and item and (few and len(tokens) < 12 or len(tokens) < 7)
+        if not row and not entry and (not tokens or any(map(str.isalpha, tokens))):
             kept.append(line)
     return "\n".join(kept)
 
 
 def collapsed(text: str) -> str:
     """The text with each sentence or line said once, and less runs of three words that a fifth of it or more repeats."""
-    seen, kept = set(), []
+    return _collapsed(text)[0]
+
+
+def _collapsed(text: str) -> tuple[str, list[str]]:
+    """The text collapsed, and its words."""
+    seen, kept, plain = set(), [], []
     for part in segments(text):
         key = tuple(words(part))
         if len(key) < 2 or key not in seen:
             kept.append(part)
+            plain += key
         seen.add(key)
     text = " ".join(kept)
+    again_at_most = 3 * (max(0, len(plain) - 2) - len(set(zip(plain, plain[1:], plain[2:]))))
+    if 5 * again_at_most < len(plain) or 5 * repeated(plain, 3) < len(plain):
+        return text, plain
     tokens = [(t, p) for t in text.split() if (p := _plain(t.lower()))]
-    plain = [p for _, p in tokens]
-    if 5 * repeated(plain, 3) < len(plain):
-        return text
     grams: set[tuple] = set()
     again: set[int] = set()
     for i, gram in enumerate(zip(plain, plain[1:], plain[2:])):
         if gram in grams:
             again.update((i, i + 1, i + 2))
         grams.add(gram)
-    return " ".join(t for i, (t, _) in enumerate(tokens) if i not in again)
+    return " ".join(t for i, (t, _) in enumerate(tokens) if i not in again), [p for i, p in enumerate(plain) if i not in again]
 
 
 def stratum(text: str, n: int) -> str:
@@ -155,51 +181,103 @@ def score(text: str | None, least: float = 0.0) -> tuple[float, float, int]:
     got, n = repeated_share(text)
     if got < least or not got:
         return got, got, n
-    rest, m = repeated_share(without_rows(text))
-    return (min(got, rest / 0.98) if m >= 8 and is_wordy(text) else 0.0), got, n
+    return _closer(text, got, n), got, n
+
 
+def _closer(text: str, got: float, n: int, said: list[str] | None = None) -> float:
+    """The score of a text with the repeated share ``got`` of its n words.  said: the words of a text of one line, if they are known."""
+    bare = without_markup(text)
+    if bare != text:
+        said = None
+    if not _wordy(set(words(bare) if said is None else said)):
+        return 0.0
+    kept = _without_rows(bare, said)
+    rest, m = (got, n) if kept == text else repeated_share(kept)
+    return min(got, rest / 0.98) if m >= 8 else 0.0
 
-def variant(text: str, share: float, kind: int, rng: random.Random) -> str:
-    """The text with repetitions put in that make up the given share of its words."""
-    tokens = text.split()
+
+def insertion(tokens: list[str], parts: Callable[[], list[str]], share: float, kind: int, rng: random.Random) -> tuple[int, list[str]]:
+    """Where in the tokens which others are put in, to make up the given share with what they repeat.  parts: the sentences of the tokens."""
     n = len(tokens)
     wanted = round(share / (1 - share) * n)
     if not wanted:
-        return text
+        return n, []
     if kind == 0:  # one word
         unit = [rng.choice(tokens)]
     elif kind == 1:  # a phrase
         at = rng.randrange(max(1, n - 8))
         unit = tokens[at : at + rng.randint(4, 8)]
     elif kind == 2:  # a sentence
-        parts = [p for p in segments(text) if len(p.split()) >= 6] or [text]
-        unit = rng.choice(parts).split()
+        unit = rng.choice([p for p in parts() if len(p.split()) >= 6] or [" ".join(tokens)]).split()
     else:  # all from the start
         unit = tokens
     more = (unit * (wanted // len(unit) + 1))[:wanted]
     at = n if rng.random() < 0.6 else rng.randrange(n)
-    return " ".join(tokens[:at] + (unit if kind < 2 else []) + more + tokens[at:])
+    return at, (unit if kind < 2 else []) + more
+
+
+def _repeated_with(said: list[str], first: dict[tuple, int], at: int, more: list[str]) -> int:
+    """repeated(said[:at] + more + said[at:]) where no run of ``said`` comes twice.  first: where in ``said`` each run begins.
+
+    Only runs that touch ``more`` can have come before, and those after it that are one of them.
+    """
+    if not more:
+        return 0
+    left = max(0, at - RUN + 1)
+    mid = said[left:at] + more + said[at : at + RUN - 1]
+    seen: set[tuple] = set()
+    begins, after = [], set()
+    for i, gram in enumerate(zip(*(mid[j:] for j in range(RUN))), left):
+        there = first.get(gram, -1)
+        if gram in seen or 0 <= there <= at - RUN:
+            begins.append(i)
+        if there >= at:
+            after.add(there + len(more))
+        seen.add(gram)
+    if after:
+        begins += sorted(after)
+    return sum(min(RUN, b - a) for a, b in zip(begins, begins[1:])) + RUN if begins else 0
 
 
 def binomial_tail(n: int, k: int, p: float) -> float:
-    """Probability of at most k of n at the rate p."""
-    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    """Probability of at most k of n at the rate p.  Terms 40 standard deviations from the mean, under 1e-300, are left out."""
+    mean, far = int(n * p), int(40 * math.sqrt(n * p * (1 - p))) + 40
+    some = range(max(0, min(k, mean) - far), min(k, mean + far) + 1)
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in some)
 
 
-def holdout(text: str, share: float = SHARE) -> list[tuple[str, float]]:
+def holdout(text: str, share: float = SHARE, least: float = 0.0) -> list[tuple[str, float]]:
     """Stratum and score of rows that are no cases: the text as it is without its repetitions, and with some put in that make up less than ``share``.
 
     Two of three rows have repetitions, of any share up to 0.02 below the wanted one.  A text that can't be freed of its own gives none.
+    Scores below ``least`` are those of ``score``.
     """
-    clean = collapsed(text)
-    if len(words(clean)) < 30 or repeated_share(clean)[0] > 0.05:
+    clean, plain = _collapsed(text)
+    n = len(plain)
+    if n < 30:
+        return []
+    first = dict(zip(zip(*(plain[j:] for j in range(RUN))), range(n)))
+    once = len(first) == n - RUN + 1
+    if not once and repeated(plain) > 0.05 * n:
         return []
+    tokens = clean.split()
+    pairs = plain if n == len(tokens) else [t if t.isalpha() else _plain(t) for t in clean.lower().split()]
+    own = [w for w in plain if w in ANY_FUNCTION_WORD]
+    parts = functools.cache(lambda: segments(clean))
     rng = random.Random(clean)
-    made = [variant(clean, 0.0 if k == 0 else rng.uniform(0.05, share - 0.02), rng.randrange(4), rng) for k in range(3)]
-    return [(stratum(t, n), s) for t in made for s, _, n in (score(t),)]
-
-
-def certified(rows: list[tuple[str, float]], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
+    rows = []
+    for k in range(3):
+        at, more = insertion(tokens, parts, 0.0 if k == 0 else rng.uniform(0.05, share - 0.02), rng.randrange(4), rng)
+        put = [p for t in more if (p := t.lower() if t.isalpha() else _plain(t.lower()))]
+        begin = at if pairs is plain else sum(map(bool, pairs[:at]))
+        size = n + len(put)
+        got = (_repeated_with(plain, first, begin, put) if once else repeated(plain[:begin] + put + plain[begin:])) / size
+        s = got if got < least or not got else _closer(" ".join(tokens[:at] + more + tokens[at:]), got, size, plain[:begin] + put + plain[begin:])
+        rows.append((f"{language_of(own + put)} {LENGTHS[size >= LONG]}", s))
+    return rows
+
+
+def certified(rows: Iterable[tuple[str, float]], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
     """The lowest certified cutoff of each stratum, of each length over all languages ("* long"), and of all ("*").
 
     rows: stratum and score of texts that are no cases.  From the highest cutoff down, each is tested for the hypothesis
@@ -207,16 +285,21 @@ def certified(rows: list[tuple[str, float]], risk: float = RISK, error: float =
     certain, so they need no correction among each other; those of several strata share the error by Bonferroni's bound.
     A stratum whose rows certify no cutoff isn't in the result.
     """
-    held: dict[str, list[float]] = {}
-    for name, s in rows:
+    return certified_counts(Counter((name, bisect_right(GRID, s)) for name, s in rows), risk, error)
+
+
+def certified_counts(counts: dict[tuple[str, int], int], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
+    """``certified`` from the number of rows of each stratum that reach so many cutoffs of GRID."""
+    held: dict[str, list[int]] = {}
+    for (name, reach), n in counts.items():
         for k in (name, f"* {name.split()[-1]}", "*"):
-            held.setdefault(k, []).append(s)
+            held.setdefault(k, [0] * (len(GRID) + 1))[reach] += n
     found: dict[str, float] = {}
-    for name, scores in sorted(held.items()):
-        for cutoff in sorted(GRID, reverse=True):
-            if binomial_tail(len(scores), sum(s >= cutoff for s in scores), risk) > error / len(held):
+    for name, reached in sorted(held.items()):
+        for i in reversed(range(len(GRID))):
+            if binomial_tail(sum(reached), sum(reached[i + 1 :]), risk) > error / len(held):
                 break
-            found[name] = cutoff
+            found[name] = GRID[i]
     return found
 
 
@@ -225,6 +308,23 @@ def cutoff_of(name: str, found: dict[str, float]) -> float | None:
     return next((found[k] for k in (name, f"* {name.split()[-1]}", "*") if k in found), None)
 
 
+def holdout_counts(df: DataFrame, text: str, share: float = SHARE) -> dict[tuple[str, int], int]:
+    """How many rows of the holdout there are of each stratum that reach so many cutoffs of GRID, of all texts of df, copies once.
+
+    A text leaves its hash and three numbers; the driver gets one count for each stratum and number of cutoffs.
+    """
+
+    def rows_of(t: str) -> tuple | None:
+        rows = holdout(t, share, GRID[0])
+        return ([_AT[name] + bisect_right(GRID, s) for name, s in rows],) if rows else None
+
+    # no text of fewer characters has the 30 words that ``holdout`` asks for
+    texts = df.select(F.col(text).alias("t"), F.xxhash64(text).alias("code")).where("length(t) >= 59")
+    each = per_row(texts, ["code"], ["t"], lambda: rows_of, [("at", "array<int>")]).dropDuplicates(["code"])
+    counts = each.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()
+    return {(STRATA[r["at"] // (len(GRID) + 1)], r["at"] % (len(GRID) + 1)): r.n for r in counts}
+
+
 def repeated_content(df: DataFrame, keys: list[str], text: str, share: float = SHARE, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """keys, n_words, repeated_share, stratum, cutoff, certified, flagged for each row of df.
 
@@ -233,14 +333,7 @@ def repeated_content(df: DataFrame, keys: list[str], text: str, share: float = S
     could be certified, not even over all strata (as for tables of a few texts), it is ``share`` and certified is false.  Texts
     with a share below the lowest cutoff have no stratum.  An empty table gives an empty result.
     """
-    sample = hash_sample(df.select(F.col(text).alias("t")).where("length(t) >= 300"), ["t"], HOLDOUT)
-
-    def rows_of(t: str) -> tuple:
-        rows = holdout(t, share)
-        return [n for n, _ in rows], [s for _, s in rows]
-
-    scored = per_row(sample, [], ["t"], lambda: rows_of, [("names", "array<string>"), ("scores", "array<double>")])
-    cut = certified(sorted(x for r in scored.collect() for x in zip(r.names, r.scores)), risk, error)
+    cut = certified_counts(holdout_counts(df, text, share), risk, error)
     least = min([*cut.values(), share])
 
     def make():

@@ -1,4 +1,7 @@
+import math
 import random
+from bisect import bisect_right
+from collections import Counter
 
 import pytest
 
@@ -103,3 +106,40 @@ def test_binomial_tail():
 def test_long_text(spark):
     text = PROSE * 2000
     assert R.repeated_share(text)[0] > 0.99
+
+
+def test_the_holdout_is_all_texts(spark):
+    german = [t.replace("The", "Die").replace(" of the ", " für die ").replace("has", "hat").replace(" it in a ", " sie nicht mit ").replace(" of this ", " oder ") for t in _texts(8, 120)]
+    texts = _texts(7, 2800) + german
+    rows = [x for t in texts for x in R.holdout(t)]
+    found = R.certified(rows)
+    assert "de long" in found and found["de long"] != found["* long"]  # of a part of the texts too few are German
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, *german, *german, None, "", "short"])] + [("k", german[0] + " " + german[0])], "id string, t string")
+    counts = R.holdout_counts(df, "t")
+    again = R.holdout(german[0] + " " + german[0])
+    assert sum(counts.values()) == len(rows) + len(again)
+    assert counts == Counter((name, bisect_right(R.GRID, s)) for name, s in rows + again)
+    assert [(r.stratum, r.cutoff) for r in R.repeated_content(df, ["id"], "t").where("id = 'k'").collect()] == [("de long", R.certified(rows + again)["de long"])]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_scores_of_the_holdout_are_those_of_its_texts(seed):
+    texts = _texts(seed, 40) + [f"{t} – {PROSE} & {t[:90]} {seed}" for t in _texts(seed + 50, 20)] + [PROSE + "\n" + "\n".join(t.split(". ")[:3]) for t in _texts(seed + 90, 10)]
+    for t in texts:
+        clean, rows = R.collapsed(t), R.holdout(t)
+        if len(R.words(clean)) < 30 or R.repeated_share(clean)[0] > 0.05:
+            assert rows == []
+            continue
+        rng, made = random.Random(clean), []
+        for k in range(3):
+            tokens = clean.split()
+            at, more = R.insertion(tokens, lambda: R.segments(clean), 0.0 if k == 0 else rng.uniform(0.05, R.SHARE - 0.02), rng.randrange(4), rng)
+            made.append(" ".join(tokens[:at] + more + tokens[at:]))
+        assert rows == [(R.stratum(x, n), s) for x in made for s, _, n in (R.score(x),)]
+        assert [(a, s >= 0.3 and s) for a, s in R.holdout(t, least=0.3)] == [(a, s >= 0.3 and s) for a, s in rows]
+
+
+def test_binomial_tail_of_many_rows():
+    n = 10**7
+    assert R.binomial_tail(n, n, 0.02) == pytest.approx(1.0) and R.binomial_tail(n, n // 50, 0.02) == pytest.approx(0.5, abs=1e-3) and R.binomial_tail(n, n // 100, 0.02) == 0.0
+    assert R.binomial_tail(3000, 40, 0.02) == pytest.approx(sum(math.comb(3000, i) * 0.02**i * 0.98 ** (3000 - i) for i in range(41)))
