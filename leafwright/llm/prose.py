@@ -161,20 +161,29 @@ def own_function_words(parts: list[str]) -> frozenset[str]:
     Only segments that look like sentences in any language count: of five words or more, begun without a small letter and ended by a
     mark.  Fewer than five of them, or less than three fifths of the words in them, show nothing.
     """
-    found: Counter = Counter()
-    n = inside = total = 0
-    for s in parts:
-        tokens = words_of(s)
-        total += len(tokens)
-        if len(tokens) >= 5 and not s.lstrip()[:1].islower() and s.rstrip("\"'”’»)] \t").endswith(_MARKS):
-            n += 1
-            inside += len(tokens)
-            found.update({w for w in tokens if 1 < len(w) <= 4 and w.isalpha()})
+    alike, inside, total = _sentence_like(parts)
+    n = len(alike)
     if n < 5 or 5 * inside < 3 * total:
         return frozenset()
+    found = Counter(w for tokens in alike for w in {w for w in tokens if 1 < len(w) <= 4 and w.isalpha()})
     return frozenset(w for w, k in found.items() if k >= max(3, 0.1 * n))
 
 
+def _sentence_like(parts: list[str]) -> tuple[list[list[str]], int, int]:
+    """The words of the segments that look like sentences in any language, how many they are, words in all."""
+    said = [(s, words_of(s)) for s in parts]
+    alike = [tokens for s, tokens in said if len(tokens) >= 5 and not s.lstrip()[:1].islower() and s.rstrip("\"'”’»)] \t").endswith(_MARKS)]
+    return alike, sum(map(len, alike)), sum(len(tokens) for _, tokens in said)
+
+
+def shows_too_little(text: str) -> bool:
+    """Whether three fifths of the words stand in what looks like sentences, hardly any with function words that are known, but too few to show the text's own."""
+    parts = segments(without_markup(text))
+    alike, inside, total = _sentence_like(parts)
+    known, n = _share(parts, ANY_FUNCTION_WORD)
+    return 0 < len(alike) < 5 and 5 * inside >= 3 * total and 4 * known < n
+
+
 _MARKS = (".", "!", "?", "…", "。", "！", "？", "।", "؟", "։")
 
 

@@ -74,3 +74,36 @@ def test_prose_of_other_languages(text):
 ])
 def test_no_prose_in_any_language(text):
     assert not quality.is_prose(text)
+
+
+SHORT = {
+    "pl": "Statek wypłynął z portu na początku maja i nie wrócił do domu. Kapitan nie widział światła na molo i czekał na znak od załogi.",
+    "cs": "Loď vyplula z přístavu na začátku května a už se nevrátila domů. Kapitán neviděl světlo na molu a čekal celou noc na znamení posádky.",
+    "sv": "Skeppet lämnade hamnen i början av maj och kom aldrig hem igen. Kaptenen såg inte ljuset på piren och väntade hela natten på ett tecken.",
+    "ro": "Nava a plecat din port la începutul lunii mai și nu s-a mai întors acasă. Căpitanul nu a văzut lumina de pe dig și a așteptat toată noaptea.",
+}
+SHORT_JUNK = {
+    "words": "Crane rope boat net anchor barrel chain engine. Plank winch wire lamp sail oar harbour market storage. Cargo freight vessel captain.",
+    "letters": "Kqx vvz ppl mmt rrw xkq. Qqs xxz wwq zzk ppt jkl. Lmm ttv qrs nnb vcc.",
+    "random": "Wokje qalit zurem pikto velad mord. Tropsil genka wulf dorten hask plim. Kradu zemp lorti wakse.",
+    "single": "R e l n a t i s o e. C n i a s l e r t.",
+}
+FRENCH = "La commission s'est réunie au printemps et elle a entendu un rapport sur l'état du port. Plusieurs membres ont demandé comment les nouvelles grues seraient payées."
+SPANISH = "El comité se reunió en la primavera y escuchó un informe sobre el estado del puerto. Varios miembros preguntaron cómo se pagarían las nuevas grúas."
+
+
+def test_short_prose_of_other_languages_is_held_against_the_sketches(spark):
+    assert all(not quality.is_prose(t) and prose.shows_too_little(t) for t in [*SHORT.values(), *SHORT_JUNK.values()])
+    held = [(f"p{i}", f"{t} {i}.") for i, t in enumerate([PROSE, GERMAN, FRENCH, SPANISH] * 8)]
+    tables = [(f"t{i}", TABLE) for i in range(60)]  # more tables than prose don't widen what prose is like
+    rows = [*held, *tables, *SHORT.items(), *SHORT_JUNK.items(), (None, SHORT["pl"])]
+    df = spark.createDataFrame(rows, "id string, t string")
+    assert {r.id for r in quality.not_prose(df, ["id"], "t").collect()} == {k for k, _ in tables} | set(SHORT_JUNK)
+    alone = spark.createDataFrame([*SHORT.items(), *SHORT.items()], "id string, t string")
+    assert sorted(r.id for r in quality.not_prose(alone, ["id"], "t").collect()) == sorted(SHORT)  # nothing to hold them against
+
+
+def test_sketches_move_no_text_that_sentences_settle(spark):
+    texts = [PROSE, GERMAN, LIST, TABLE, JUNK, ITALIAN, POLISH, "Short.", "(cid:3)(cid:4) " * 40]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts * 3)], "id string, t string")
+    assert sorted(int(r.id) for r in quality.not_prose(df, ["id"], "t").collect()) == [i for i, t in enumerate(texts * 3) if not quality.is_prose(t)]
