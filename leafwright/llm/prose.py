@@ -63,7 +63,7 @@ _WIKI = re.compile(r"\{\{[^{}\n]*\}\}|'{2,5}|\[\[(?:[^\[\]|\n]*\|)?|\]\]|^={2,6}
 _IMAGE = re.compile(r"!\[[^\]\n]*\]\([^)\n]*\)|(?<=\])\([^)\n]*\)")
 _BLANKS = re.compile(r"\n[ \t]*\n")
 _ITEM = re.compile(r"^\s*(?:[•–—*+-]\s|\(?[a-zA-Z0-9]{1,3}[.)]\s|[ivxlc]{1,5}[.)]\s|#{1,6}\s|:\s|;\s)")
-_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=[^\sa-z])")
+_END = re.compile(r"[.!?…]([\"'”’)\]]*\s+)(?=[^\sa-z])")
 _EDGES = ".,;:!?()[]{}<>\"'“”„‘’«»…*_`|#–—-"
 PAGE_NUMBER = re.compile(
     r"^\s*(?:[\[(·•–—~|-]*\s*)(?:(?:page|p\.|pg\.?|seite|s\.|página|pág\.?|folio|fol\.)\s*)?(?:\d{1,4}|[ivxlc]{1,6})(?:\s*(?:/|of|von|sur|de)\s*\d{1,4})?(?:\s*[\])·•–—~|-]*)\s*$",
@@ -104,6 +104,16 @@ def without_furniture(text: str) -> list[str]:
     return lines
 
 
+def sentences(paragraph: str) -> list[str]:
+    """The paragraph cut after marks that end sentences, less what stands between these and the next."""
+    out, begin = [], 0
+    for m in _END.finditer(paragraph):
+        out.append(paragraph[begin : m.start(1)])
+        begin = m.end()
+    out.append(paragraph[begin:])
+    return out
+
+
 def segments(text: str) -> list[str]:
     """Sentences of paragraphs, and the lines of lists and tables one by one."""
     out: list[str] = []
@@ -115,13 +125,13 @@ def segments(text: str) -> list[str]:
         for x in lines:
             if _ITEM.match(x) or x.count(",") + x.count("\t") + x.count("|") + x.count("  ") + x.count(" & ") > 1 and _looks_tabular(x):
                 if run:
-                    out += _END.split(" ".join(run))
+                    out += sentences(" ".join(run))
                     run = []
                 out.append(x)
             else:
                 run.append(x)
         if run:
-            out += _END.split(" ".join(run))
+            out += sentences(" ".join(run))
     return out
 
 
@@ -132,8 +142,14 @@ def words_of(text: str) -> list[str]:
 
 def _looks_tabular(line: str) -> bool:
     """Cells, hardly any word of them a function word."""
-    words = words_of(line)
-    return sum(w in ANY_FUNCTION_WORD for w in words) <= 0.1 * len(words)
+    tokens = line.lower().split()
+    left = 0.1 * len(tokens)
+    for t in tokens:
+        if (t if t.isalpha() else t.strip(_EDGES)) in ANY_FUNCTION_WORD:
+            left -= 1
+            if left < 0:
+                return False
+    return True
 
 
 def is_sentence(segment: str, function_words: frozenset[str] = ANY_FUNCTION_WORD) -> bool:

@@ -143,3 +143,33 @@ def test_binomial_tail_of_many_rows():
     n = 10**7
     assert R.binomial_tail(n, n, 0.02) == pytest.approx(1.0) and R.binomial_tail(n, n // 50, 0.02) == pytest.approx(0.5, abs=1e-3) and R.binomial_tail(n, n // 100, 0.02) == 0.0
     assert R.binomial_tail(3000, 40, 0.02) == pytest.approx(sum(math.comb(3000, i) * 0.02**i * 0.98 ** (3000 - i) for i in range(41)))
+
+
+def test_texts_are_read_once(spark):
+    """What is returned comes from the checkpoint: the cutoffs don't need the texts again."""
+    rows = [(str(i), t) for i, t in enumerate(_texts(5, 300))] + [("k", PROSE + " " + PROSE), ("n", None), ("e", "")]
+    out = R.repeated_content(spark.createDataFrame(rows, "id string, t string"), ["id"], "t")
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert len(rows) == out.count() and [(r.id, r.certified) for r in out.where("flagged").collect()] == [("k", True)]
+    assert [(r.id, r.n_words, r.repeated_share, r.certified, r.flagged) for r in out.where("id in ('n', 'e')").orderBy("id").collect()] == [("e", 0, 0.0, None, False), ("n", 0, 0.0, None, False)]
+
+
+def test_only_rows_near_a_cutoff_are_looked_up(monkeypatch):
+    texts = _texts(12, 60)
+    looked = []
+    monkeypatch.setattr(R, "_repeated_with", lambda *a, f=R._repeated_with: looked.append(1) or f(*a))
+    all_rows = [x for t in texts for x in R.holdout(t)]
+    n = len(looked)
+    looked.clear()
+    some_rows = [x for t in texts for x in R.holdout(t, least=R.GRID[0])]
+    assert 0 < len(looked) < 0.6 * n
+    reach = lambda rows: [(name, bisect_right(R.GRID, s)) for name, s in rows]
+    assert reach(all_rows) == reach(some_rows) and len({r for _, r in reach(all_rows)}) > 3
+
+
+def test_words_are_the_same_whatever_came_before():
+    texts = [*_texts(2, 20), "Über 3,5 % (İstanbul) – l’été 12-b ΣΑΣ x" + "y" * 60 + ".", "— , ..."]
+    known = R._word.__self__
+    first = [R.words(t) for t in texts]
+    assert first == [R.words(t) for t in texts] == [[w for t in x.lower().split() if (w := R._plain(t))] for x in texts]
+    assert not any(len(t) > known.TOKEN for t in known) and len(known) <= known.MOST
